@@ -12,53 +12,63 @@ from keysift.functions import levels
 from keysift.functions.text import match_lines, newlines
 from keysift.operators.rules import Rule, RuleSet
 
-# The letters outside ASCII that fold to ASCII ones; a text with one of them is
-# not skipped by a case-insensitive anchor. (lower() maps them differently.)
-FOLDING_LETTERS = "ſKİı"
+# The letters outside ASCII that a regex ignoring case takes for ASCII ones and that
+# lower() does not map to them: long s, Kelvin sign, dotted I, dotless i.
+FOLDING_LETTERS = "\u017f\u212a\u0130\u0131"
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _contains_any(text: Column, literals: tuple[str, ...] | str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
 
 
-def _gated(rule: Rule, text: Column, lower: Column, folds: Column) -> Column:
-    """The rule's matches; null where its anchors show that there are none."""
-    matches = F.regexp_extract_all(text, F.lit(rule.java_regex), F.lit(0))
-    base = lower if rule.ignores_case else text
-    gates = [_any([F.contains(base, F.lit(a)) for a in group]) for group in rule.anchors]
-    if not gates:
-        return matches
-    gate = reduce(lambda a, b: a & b, gates)
-    if rule.ignores_case:
-        gate = folds | gate
-    if rule.probe:
-        gate = gate & F.regexp_like(text, F.lit(rule.probe))
-    return F.when(gate, matches)
+def _folded(rule: Rule, group: tuple[str, ...]) -> bool:
+    """Whether the rule ignores the case of letters in the group."""
+    return rule.ignores_case and any(c.isalpha() for literal in group for c in literal)
+
+
+def _anchored(rule: Rule, group: tuple[str, ...], text: Column) -> Column:
+    """Whether the text has a literal of the group."""
+    if _folded(rule, group):
+        return F.col("_folds") | _contains_any(F.col("_lower"), group)
+    return _contains_any(text, group)
 
 
 def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """One row per unit and rule with a match: the unit's columns, ``rule_ord`` and
     ``matches``, all matches in order.
 
-    The rules are literals of one array, so each regex is compiled once per task
-    and a unit is never copied per rule. The size filter sits above the explode,
-    where the optimizer cannot duplicate the regex work.
+    A rule's regex runs only over texts that hold its anchors; finding a literal takes
+    a tenth of a regex pass, and the first anchors of all rules are looked up once. The
+    rules are literals of one array, so each regex is compiled once per task and a unit
+    is never copied per rule. The array stays inside the explode: above it, the
+    optimizer would run the regexes twice, and a generated method for all rules would
+    be too long for the JVM to compile.
     """
     scannable = rules.scannable()
     if not scannable:
         return units.select("*", F.lit(0).alias("rule_ord"),
                             F.array().cast("array<string>").alias("matches")).where(F.lit(False))
     t = F.col(text)
-    prepared = units.select(
-        "*", F.lower(t).alias("_lower"),
-        _any([F.contains(t, F.lit(c)) for c in FOLDING_LETTERS]).alias("_folds"))
-    per_rule = F.array(*[
-        F.struct(F.lit(i).alias("rule_ord"),
-                 _gated(rule, t, F.col("_lower"), F.col("_folds")).alias("matches"))
-        for i, rule in scannable
-    ])
-    return (prepared.select(*units.columns, F.explode(per_rule).alias("_hit"))
-            .where(F.size("_hit.matches") > 0)
+    first: dict[tuple, tuple[str, Column]] = {}
+    per_rule = []
+    for i, rule in scannable:
+        matches = F.regexp_extract_all(t, F.lit(rule.java_regex), F.lit(0))
+        if rule.anchors:
+            group, *others = rule.anchors
+            name, _ = first.setdefault((group, _folded(rule, group)),
+                                       (f"_a{len(first)}", _anchored(rule, group, t)))
+            gate = reduce(lambda a, b: a & b, [F.col(name), *[_anchored(rule, g, t) for g in others]])
+            if rule.probe:
+                gate = gate & F.regexp_like(t, F.lit(rule.probe))
+            matches = F.when(gate, matches)
+        per_rule.append(F.struct(F.lit(i).alias("rule_ord"), matches.alias("matches")))
+    hits = F.filter(F.array(*per_rule), lambda h: F.size(h["matches"]) > 0)
+    if all(rule.anchors for _, rule in scannable):
+        hits = F.when(reduce(lambda a, b: a | b, [F.col(name) for name, _ in first.values()]), hits)
+    return (units
+            .select("*", F.lower(t).alias("_lower"), _contains_any(t, FOLDING_LETTERS).alias("_folds"))
+            .select("*", *[lookup.alias(name) for name, lookup in first.values()])
+            .select(*units.columns, F.explode(hits).alias("_hit"))
             .select(*units.columns, "_hit.rule_ord", "_hit.matches"))
 
 

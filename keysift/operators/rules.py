@@ -89,36 +89,36 @@ BUILT_IN = [
      "AWS S3 Bucket URL with Potential Path Secrets", "0.2"),
 ]
 
-# What any match of a built-in rule must contain: all groups, one literal of each.
-# Literals of case-insensitive rules are lower case. They only let the scan skip a
-# regex that cannot match; a rule without an entry always runs.
+# What any match of a built-in rule contains: of each group one literal, lower case for
+# the rules that ignore case. The first group is common to several rules or rare. They
+# only let the scan skip a regex that cannot match; a rule without any always runs.
 ANCHORS = {
     "aws_access_key": (("AKIA",),),
     "aws_secret_key": (("aws",),),
     "api_key_generic": (("api",), ("key",)),
-    "github_token": (("ghp_", "ghs_"),),
-    "private_key": (("-----BEGIN ",),),
+    "github_token": (("_",), ("ghp_", "ghs_")),
+    "private_key": (("-",), ("-----BEGIN ",)),
     "password": (("passw", "pwd"),),
     "db_connection": (("://",), ("mongodb+srv:", "postgres:", "mysql:", "redis:", "amqp:", "jdbc:")),
     "jwt_token": ((".eyJ",),),
-    "slack_token": (("xox",),),
+    "slack_token": (("-",), ("xox",)),
     "google_api": (("AIza",),),
-    "stripe_key": (("sk_live_",),),
+    "stripe_key": (("_",), ("sk_live_",)),
     "azure_connection": (("azure",),),
     "facebook_access_token": (("EAACEdEos0BA",),),
     "twitter_api_key": (("twitter",),),
-    "ssh_private_key_id_rsa": (("-----BEGIN RSA PRIVATE KEY-----",), ("-----END RSA PRIVATE KEY-----",)),
+    "ssh_private_key_id_rsa": (("-",), ("-----BEGIN RSA PRIVATE KEY-----",), ("-----END RSA PRIVATE KEY-----",)),
     "npm_token": (("-",),),
     "docker_hub_token": ((".eyJ",),),
     "sendgrid_api_key": (("SG.",),),
-    "mailchimp_api_key": (("-us",),),
-    "pypi_token": (("pypi-",),),
-    "openssl_private_key": (("-----BEGIN OPENSSH PRIVATE KEY-----",), ("-----END OPENSSH PRIVATE KEY-----",)),
-    "cloudinary_creds": (("cloudinary://",),),
-    "s3_bucket_url": (("s3://",), (".amazonaws.com/",)),
+    "mailchimp_api_key": (("-",), ("-us",)),
+    "pypi_token": (("-",), ("pypi-",)),
+    "openssl_private_key": (("-",), ("-----BEGIN OPENSSH PRIVATE KEY-----",), ("-----END OPENSSH PRIVATE KEY-----",)),
+    "cloudinary_creds": (("://",), ("cloudinary://",)),
+    "s3_bucket_url": (("://",), ("s3://",), (".amazonaws.com/",)),
 }
 
-# A cheaper regex that any match must contain, tried after the anchors.
+# A cheaper regex that any match contains, tried after the anchors.
 PROBES = {"npm_token": r"-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-"}
 
 MAX_RULES = 10_000
@@ -227,7 +227,7 @@ def java_dialect(regex: Column) -> Column:
 
 def _hints(name: str, regex: str | None) -> tuple:
     """Anchors and probe of a built-in rule, if this is one unchanged."""
-    known = any(name == row[0] and regex == row[1] for row in BUILT_IN)
+    known = any((name, regex) == row[:2] for row in BUILT_IN)
     return (ANCHORS[name], PROBES.get(name)) if known else ((), None)
 
 
