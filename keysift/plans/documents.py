@@ -60,8 +60,10 @@ def json_text(column: Column) -> Column:
     return array.substr(F.lit(2), F.length(array) - 2)
 
 
-def write_documents(document: DataFrame, path: str) -> None:
+def write_documents(document: DataFrame, path: str) -> str:
     """One folder ``repository=...`` per document; its part files in name order are
-    the document. Sort from a saved findings table: the range sort reads its input twice."""
+    the document. Returns the path. Make documents from a saved findings table: the
+    range sort reads its input twice."""
     (document.orderBy(*ORDER).select("repository", "line")
      .write.mode("errorifexists").partitionBy("repository").text(path))
+    return path
