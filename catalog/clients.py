@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from keysift.operators.prompts import AFTER_CONTENT, BEFORE_CONTENT
 
 
-@dataclass(frozen=True)
-class LineFlagger:
-    """Names every content line that holds ``needle``; its own client factory."""
+def line_flagger(needle: str, kind: str) -> Callable[[], Callable[[str], str]]:
+    """A client factory; the client names every content line that holds ``needle``.
 
-    needle: str
-    kind: str
-
-    def __call__(self):
-        return self.answer
-
-    def answer(self, prompt: str) -> str:
-        content = prompt.split(BEFORE_CONTENT, 1)[1].rsplit(AFTER_CONTENT, 1)[0]
-        return json.dumps([
-            {"line": i, "snippet": line, "type": self.kind, "confidence": "medium", "rationale": f"Has {self.needle}"}
-            for i, line in enumerate(content.split("\n"), 1) if self.needle in line])
+    Plain nested functions travel to the executors by value, without this package.
+    """
+    def client() -> Callable[[str], str]:
+        def answer(prompt: str) -> str:
+            content = prompt.split(BEFORE_CONTENT, 1)[1].rsplit(AFTER_CONTENT, 1)[0]
+            return json.dumps([
+                {"line": i, "snippet": line, "type": kind, "confidence": "medium", "rationale": f"Has {needle}"}
+                for i, line in enumerate(content.split("\n"), 1) if needle in line])
+        return answer
+    return client

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.clients import LineFlagger
+from catalog.clients import line_flagger
 from keysift import schemas
 from keysift.operators import answers as ans
 from keysift.operators import diff, history, match
@@ -106,7 +106,7 @@ def finding_rules(spark: SparkSession, sf: str) -> DataFrame:
 def document_findings(spark: SparkSession, sf: str) -> DataFrame:
     """The whole scan of the documents as they are: rules and a model, redacted."""
     return scan_texts(inputs.document_units(spark, sf), RULES.add(TOKEN_RULE),
-                      LineFlagger("token = ", "api_key")).select(*FINDING)
+                      line_flagger("token = ", "api_key")).select(*FINDING)
 
 
 # --- counts and documents
@@ -236,7 +236,7 @@ def cached_answers(spark: SparkSession, sf: str) -> DataFrame:
 def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A model's answer to every distinct page chunk."""
     todo = distinct_chunks(keyed_chunks(inputs.page_units(spark, sf), RULES, MODEL))
-    answered = ask(todo, RULES, LineFlagger("<script>", "page_script"))
+    answered = ask(todo, RULES, line_flagger("<script>", "page_script"))
     return answered.withColumn("answer", ans.parse_answer(F.col("response"))).select(
         "cache_key", "copies", F.array_join("answer.line", ",").alias("lines"), "error")
 
@@ -250,7 +250,7 @@ def model_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A model's findings in the documents: chunk, ask, parse, place."""
-    return model_findings(inputs.document_units(spark, sf), RULES, LineFlagger("token = ", "api_key"), MODEL).select(
+    return model_findings(inputs.document_units(spark, sf), RULES, line_flagger("token = ", "api_key"), MODEL).select(
         "repository", "file_path", "line_number", "snippet", "finding_type", "confidence", "rationale", "detector")
 
 

@@ -24,7 +24,7 @@ def _mask_rule(s: Column, regex: Column) -> Column:
     """Every match of one regex reduced to its head."""
     around = F.split(s, regex, -1)
     masked = F.transform(F.regexp_extract_all(s, regex, F.lit(0)), head)
-    # a regex that can match nothing splits differently: hide everything then
+    # a regex that can match nothing may split differently: hide everything then
     aligned = F.size(around) == F.size(masked) + 1
     rebuilt = F.array_join(F.zip_with(
         around, F.array_append(masked, F.lit("")), lambda a, m: F.concat(a, m)), "")

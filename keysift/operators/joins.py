@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_TASK = 1_000_000
 MAX_HEAVY = 1_000
@@ -18,7 +19,7 @@ def heavy_keys(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK,
     a column that counts rows already.
     """
     rows = F.count("*") if weight is None else F.sum(weight)
-    return (df.groupBy(*on).agg(rows.alias("_rows")).where(F.col("_rows") > rows_per_task)
+    return (df.dropna(subset=on).groupBy(*on).agg(rows.alias("_rows")).where(F.col("_rows") > rows_per_task)
             .orderBy(F.desc("_rows")).limit(MAX_HEAVY)
             .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")).collect())
 
@@ -36,7 +37,7 @@ def heavy_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str
     heavy = heavy_keys(big if weigh is None else weigh, on, rows_per_task, weight)
     if not heavy:
         return big.join(small, on, how)
-    schema = big.select(*on).schema.add("_salts", "int")
+    schema = big.select(*on).schema.add("_salts", T.IntegerType())
     table = F.broadcast(big.sparkSession.createDataFrame(heavy, schema))
     salts = F.coalesce("_salts", F.lit(1))
     left = (big.join(table, on, "left")
