@@ -20,7 +20,7 @@ from keysift.operators.prompts import ModelOptions, clamp_content, prompt
 from keysift.operators.rules import Rule, RuleSet, default_rules
 from keysift.plans import report, sarif, summary
 from keysift.plans.scan import redact_findings, scan, scan_texts
-from keysift.session import shared_dir
+from keysift.session import cut_lineage, shared_dir
 from keysift.streaming.scan import stream_findings, write_stream
 
 RULES = default_rules()
@@ -83,13 +83,12 @@ def findings_redacted(spark: SparkSession, sf: str) -> DataFrame:
 def _with_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Regex findings, the same ones again as a staged change has them, and a model's
     version of them with other confidences."""
-    found = _planted_findings(spark, sf)
-    told = found.withColumns({
-        "detector": F.lit("model"),
-        "rationale": F.lit("Looks like a secret"),
-        "confidence": F.when(F.length("snippet") % 3 == 0, "high").when(
+    told = F.col("detector") == "model"
+    copies = F.explode(F.array(F.lit("regex"), F.lit("regex"), F.lit("model")))
+    return _planted_findings(spark, sf).withColumn("detector", copies).withColumns({
+        "rationale": F.when(told, "Looks like a secret").otherwise(F.col("rationale")),
+        "confidence": F.when(~told, F.col("confidence")).when(F.length("snippet") % 3 == 0, "high").when(
             F.length("snippet") % 3 == 1, "medium").otherwise("low")})
-    return found.unionByName(found).unionByName(told)
 
 
 def findings_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +97,7 @@ def findings_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def finding_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with their rule's columns."""
-    return summary.with_rules(_planted_findings(spark, sf), RULES.to_df(spark)).select(
+    return summary.with_rules(_planted_findings(spark, sf), RULES).select(
         "file_path", "finding_type", "line_number", "description", "confidence_boost",
         F.array_join("keywords", ",").alias("keywords"))
 
@@ -119,9 +118,14 @@ def finding_types(spark: SparkSession, sf: str) -> DataFrame:
     return summary.type_counts(_planted_findings(spark, sf))
 
 
+def _saved_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished findings, scanned once: a document goes over them several times."""
+    return cut_lineage(redact_findings(dedup_findings(_planted_findings(spark, sf)), RULES))
+
+
 def report_json(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON reports, as document lines."""
-    found = redact_findings(dedup_findings(_planted_findings(spark, sf)), RULES)
+    found = _saved_findings(spark, sf)
     return report.report_document(found).select("repository", "block", F.coalesce("part", F.lit(0)).alias("part"), "line")
 
 
@@ -176,7 +180,7 @@ def sarif_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def sarif_json(spark: SparkSession, sf: str) -> DataFrame:
     """The SARIF logs, as document lines."""
-    found = redact_findings(dedup_findings(_planted_findings(spark, sf)), RULES)
+    found = _saved_findings(spark, sf)
     return sarif.sarif_document(found).select("repository", "block", "line")
 
 

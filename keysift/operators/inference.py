@@ -45,12 +45,18 @@ def not_cached(distinct: DataFrame, cache: DataFrame) -> DataFrame:
     return distinct.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def prompts_for(distinct: DataFrame, rules: RuleSet) -> DataFrame:
+    """``cache_key, copies, prompt``: what to ask, here or in a batch job elsewhere."""
+    return distinct.select("cache_key", "copies", prompt(F.col("content"), rules).alias("prompt"))
+
+
 def ask(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client],
         tasks: int | None = None) -> DataFrame:
     """``cache_key, copies, response, error``: a client's answer per content.
 
-    A call that raises counts as an empty answer; its message goes to ``error``.
-    ``tasks`` is how many calls run side by side (default: one per core).
+    A call that raises counts as an empty answer; its message goes to ``error``. The
+    calls are split over ``tasks`` tasks (default: the session's shuffle partitions,
+    one per core at least); more and shorter tasks lose less when an executor dies.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
@@ -73,24 +79,31 @@ def ask(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client
             if hasattr(client, "close"):
                 client.close()
 
-    tasks = tasks or distinct.sparkSession.sparkContext.defaultParallelism
-    return (distinct.repartition(tasks, "cache_key")
-            .select("cache_key", "copies", prompt(F.col("content"), rules).alias("prompt"))
-            .mapInPandas(run, "cache_key string, copies long, response string, error string"))
+    spark = distinct.sparkSession
+    tasks = tasks or max(spark.sparkContext.defaultParallelism,
+                         int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return prompts_for(distinct.repartition(tasks, "cache_key"), rules).mapInPandas(
+        run, "cache_key string, copies long, response string, error string")
+
+
+def known_answers(distinct: DataFrame, cache: DataFrame) -> DataFrame:
+    """``cache_key, copies, response, error`` of the contents the cache has."""
+    once = cache.groupBy("cache_key").agg(F.min("response").alias("response"))
+    return distinct.select("cache_key", "copies").join(once, "cache_key").withColumn(
+        "error", F.lit(None).cast("string"))
 
 
-def answers_for(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client],
+def answers_for(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client] | None,
                 cache: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """``cache_key, copies, response, error`` for every distinct content: from the
-    cache where it has the key, else from a client. Materialised, since a call is
-    costly and may answer differently the next time."""
+    cache where it has the key, else from a client; without a client, from the cache
+    only. Materialised, since a call is costly and may answer differently next time."""
+    if client_factory is None:
+        return cut_lineage(known_answers(distinct, cache))
     if cache is None:
         return cut_lineage(ask(distinct, rules, client_factory, tasks))
-    known = distinct.select("cache_key", "copies").join(
-        cache.dropDuplicates(["cache_key"]).select("cache_key", "response"), "cache_key").select(
-        "*", F.lit(None).cast("string").alias("error"))
-    return cut_lineage(
-        ask(not_cached(distinct, cache), rules, client_factory, tasks).unionByName(known))
+    asked = ask(not_cached(distinct, cache), rules, client_factory, tasks)
+    return cut_lineage(asked.unionByName(known_answers(distinct, cache)))
 
 
 def attach_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -107,7 +120,7 @@ def attach_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
                       weigh=weights, weight="copies")
 
 
-def model_findings(units: DataFrame, rules: RuleSet, client_factory: Callable[[], Client],
+def model_findings(units: DataFrame, rules: RuleSet, client_factory: Callable[[], Client] | None,
                    model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
                    size: int = CHUNK_CHARS, tasks: int | None = None) -> DataFrame:
     """The model's findings in ``units`` (raw, like the regex ones)."""

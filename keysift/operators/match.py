@@ -18,7 +18,7 @@ FOLDING_LETTERS = "\u017f\u212a\u0130\u0131"
 
 
 def _contains_any(text: Column, literals: tuple[str, ...] | str) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
 
 
 def _folded(rule: Rule, group: tuple[str, ...]) -> bool:
@@ -48,21 +48,27 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
     if not scannable:
         return units.select("*", F.lit(0).alias("rule_ord"),
                             F.array().cast("array<string>").alias("matches")).where(F.lit(False))
-    t = F.col(text)
+    t, whole = F.col(text), F.lit(0)
     first: dict[tuple, tuple[str, Column]] = {}
     per_rule = []
-    for i, rule in scannable:
-        matches = F.regexp_extract_all(t, F.lit(rule.java_regex), F.lit(0))
+    for rule in rules:
+        if not rule.regex:
+            per_rule.append(F.lit(None).cast("array<string>"))
+            continue
+        matches = F.regexp_extract_all(t, F.lit(rule.java_regex), whole)
         if rule.anchors:
             group, *others = rule.anchors
-            name, _ = first.setdefault((group, _folded(rule, group)),
-                                       (f"_a{len(first)}", _anchored(rule, group, t)))
-            gate = reduce(lambda a, b: a & b, [F.col(name), *[_anchored(rule, g, t) for g in others]])
+            key = (group, _folded(rule, group))
+            if key not in first:
+                first[key] = (f"_a{len(first)}", _anchored(rule, group, t))
+            gate = reduce(lambda a, b: a & b, [F.col(first[key][0]), *[_anchored(rule, g, t) for g in others]])
             if rule.probe:
-                gate = gate & F.regexp_like(t, F.lit(rule.probe))
+                gate = gate & t.rlike(rule.probe)
             matches = F.when(gate, matches)
-        per_rule.append(F.struct(F.lit(i).alias("rule_ord"), matches.alias("matches")))
-    hits = F.filter(F.array(*per_rule), lambda h: F.size(h["matches"]) > 0)
+        per_rule.append(matches)
+    hits = F.filter(
+        F.transform(F.array(*per_rule), lambda m, i: F.struct(i.alias("rule_ord"), m.alias("matches"))),
+        lambda h: F.size(h["matches"]) > 0)
     if all(rule.anchors for _, rule in scannable):
         hits = F.when(reduce(lambda a, b: a | b, [F.col(name) for name, _ in first.values()]), hits)
     return (units

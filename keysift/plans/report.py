@@ -22,7 +22,7 @@ def report_document(findings: DataFrame, window: DataFrame | None = None) -> Dat
     repo, rank, commit = F.col("repository"), F.col("commit_rank"), F.col("commit_hash")
     info = scan_summary(findings, window)
     commits = doc.mark_first(
-        findings.groupBy("repository", "commit_rank", "commit_hash").agg(F.lit(1).alias("one")),
+        findings.select("repository", "commit_rank", "commit_hash").distinct(),
         ["repository"], ["commit_rank", "commit_hash"])
     items = doc.mark_first(findings, ["repository", "commit_rank", "commit_hash"], doc.ITEM)
     types = doc.mark_first(type_counts(findings), ["repository"], ["finding_type"])

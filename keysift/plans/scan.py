@@ -32,10 +32,11 @@ def scan_texts(units: DataFrame, rules: RuleSet | None = None,
                client_factory: Callable[[], Client] | None = None,
                model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
                redaction: bool = True) -> DataFrame:
-    """De-duplicated findings in units, by the rules and, with a client, a model."""
+    """De-duplicated findings in units, by the rules and, with a client or a table of
+    known answers, by a model."""
     rules = rules or default_rules()
     findings = regex_findings(units, rules)
-    if client_factory is not None:
+    if client_factory is not None or cache is not None:
         findings = findings.unionByName(model_findings(units, rules, client_factory, model, cache))
     findings = dedup_findings(findings)
     return redact_findings(findings, rules) if redaction else findings

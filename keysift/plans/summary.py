@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysift import schemas
+from keysift.operators.diff import date_string
+from keysift.operators.joins import heavy_join
+from keysift.operators.rules import RuleSet
 
 
 def counts_by_repository(findings: DataFrame) -> DataFrame:
@@ -47,8 +50,6 @@ def uncommitted(findings: DataFrame) -> DataFrame:
 
 def with_commit_details(findings: DataFrame, commits: DataFrame) -> DataFrame:
     """Author and date of each finding's commit; null for uncommitted ones."""
-    from keysift.operators.diff import date_string
-    from keysift.operators.joins import heavy_join
     details = commits.select("repository", "commit_hash", "author",
                              date_string(F.col("commit_date")).alias("date"))
     return heavy_join(findings.drop("author", "date"), details, ["repository", "commit_hash"],
@@ -56,10 +57,11 @@ def with_commit_details(findings: DataFrame, commits: DataFrame) -> DataFrame:
                       ).select(*findings.columns)
 
 
-def with_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings with their rule's ``keywords``, ``description`` and ``confidence_boost``
-    (null for a type that is no rule). ``rules`` is a rule table, thousands of rows at
-    most, with unique names."""
-    about = rules.select(F.col("name").alias("finding_type"),
-                         "keywords", "description", "confidence_boost")
-    return findings.join(F.broadcast(about), "finding_type", "left")
+def with_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:
+    """Findings with their rule's ``keywords``, ``description`` and ``confidence_boost``,
+    null for a type that is no rule. Of several rules with one name, the first."""
+    fields = ["keywords", "description", "confidence_boost"]
+    first = (rules.to_df(findings.sparkSession).groupBy(F.col("name").alias("finding_type"))
+             .agg(F.min(F.struct("rule_ord", *fields)).alias("_r"))
+             .select("finding_type", *[f"_r.{c}" for c in fields]))
+    return findings.join(F.broadcast(first), "finding_type", "left")
