@@ -21,18 +21,20 @@ def added_lines(patch: Column) -> Column:
     start plus its position. No window over the lines, hence no shuffle of the text.
     """
     hunks = F.filter(F.split(patch, BEFORE_HUNK), lambda h: F.regexp_like(h, F.lit(HUNK)))
-
-    def of_hunk(h: Column) -> Column:
-        start = F.regexp_extract(h, HUNK, 1).cast("int")
-        body = F.slice(F.split(h, "\n"), 2, F.length(h) + 1)
-        new_file = F.filter(body, lambda x: ~(x.startswith("-") | x.startswith("\\")))
-        numbered = F.transform(new_file, lambda x, i: F.struct((start + i).alias("line_no"), x.alias("line")))
-        added = F.filter(numbered, lambda x: x["line"].startswith("+"))
-        return F.transform(added, lambda x: F.struct(
+    # the header is read here, once per hunk; below it would be read for each line
+    parsed = F.transform(hunks, lambda h: F.struct(
+        F.regexp_extract(h, HUNK, 1).cast("int").alias("start"),
+        F.filter(F.slice(F.split(h, "\n"), 2, F.length(h) + 1),
+                 lambda x: ~(x.startswith("-") | x.startswith("\\"))).alias("new_file")))
+
+    def added(p: Column) -> Column:
+        numbered = F.transform(p["new_file"], lambda x, i: F.struct(
+            (p["start"] + i).alias("line_no"), x.alias("line")))
+        return F.transform(F.filter(numbered, lambda x: x["line"].startswith("+")), lambda x: F.struct(
             x["line_no"].alias("line_no"),
             x["line"].substr(F.lit(2), F.length(x["line"])).alias("line")))
 
-    return F.transform(hunks, of_hunk)
+    return F.transform(parsed, added)
 
 
 def diff_lines(patches: DataFrame) -> DataFrame:
@@ -66,7 +68,8 @@ def message_units(window: DataFrame) -> DataFrame:
 
 
 def date_string(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """yyyy-mm-ddThh:mm:ss; a timestamp without zone is never shifted."""
+    return F.replace(F.substring(ts.cast("string"), 1, 19), F.lit(" "), F.lit("T"))
 
 
 def windowed_patches(patches: DataFrame, window: DataFrame) -> DataFrame:
