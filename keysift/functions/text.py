@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "\u0001"
+LINES = "array<struct<line:int,file_line:int,keyword:boolean>>"
 
 
 def newlines(s: Column) -> Column:
@@ -43,7 +44,7 @@ def match_lines(text: Column, regex: Column, line_nos: Column | None = None,
         )
         count = F.length(x["marked"]) - F.length(x["line"])
         return F.when(count > 0, F.array_repeat(entry, count)).otherwise(
-            F.array().cast("array<struct<line:int,file_line:int,keyword:boolean>>"))
+            F.array().cast(LINES))
 
     return F.flatten(F.transform(lines, of_line))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keysift import schemas
 from keysift.functions import levels
-from keysift.functions.text import match_lines, newlines
+from keysift.functions.text import LINES, match_lines, newlines
 from keysift.operators.rules import Rule, RuleSet
 
 # The letters outside ASCII that a regex ignoring case takes for ASCII ones and that
@@ -107,6 +107,9 @@ def locate_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> Data
     keep = [c for c in units.columns if c not in (text, "line_nos")]
     t, regex = F.col(text), F.col("regex")
     line_nos = F.col("line_nos") if "line_nos" in units.columns else None
+    # only a match with a line break can end on another line than it starts on
+    breaks = F.exists("matches", lambda m: m.contains("\n"))
+    last = match_lines(t, regex, None, F.col("keywords"), at_end=True)
     found = find_matches(units, rules, text).join(
         F.broadcast(rules.lookup(units.sparkSession)), "rule_ord")
     placed = found.select(
@@ -114,7 +117,7 @@ def locate_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> Data
         F.explode(F.arrays_zip(
             F.col("matches").alias("match"),
             match_lines(t, regex, line_nos, F.col("keywords")).alias("first"),
-            match_lines(t, regex, None, F.col("keywords"), at_end=True).alias("last"),
+            F.when(breaks, last).otherwise(F.array().cast(LINES)).alias("last"),
         )).alias("m"))
     # lines between the first and the last lie inside the match itself
     inside = F.exists("keywords", lambda k: F.contains(F.lower(F.col("m.match")), F.lower(k)))
@@ -123,7 +126,7 @@ def locate_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> Data
         F.col("m.match").alias("match"),
         F.col("m.first.file_line").alias("line_number"),
         (newlines(F.col("m.match")) + 1).alias("n_lines"),
-        (F.col("m.first.keyword") | F.col("m.last.keyword") | inside).alias("keyword_hit"))
+        (F.col("m.first.keyword") | F.coalesce("m.last.keyword", F.lit(False)) | inside).alias("keyword_hit"))
 
 
 def regex_findings(units: DataFrame, rules: RuleSet, carry: tuple[str, ...] = ()) -> DataFrame:

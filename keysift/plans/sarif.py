@@ -83,8 +83,9 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return fill_defaults(findings).select("*", result.alias("result"))
 
 
-def sarif_document(findings: DataFrame, tool: Tool = Tool()) -> DataFrame:
-    """The log of each repository as document lines (see ``documents``).
+def sarif_document(findings: DataFrame, tool: Tool = Tool(), window: DataFrame | None = None) -> DataFrame:
+    """The log of each repository as document lines (see ``documents``); with the
+    commit ``window``, also of those without findings.
 
     ``findings`` is a de-duplicated scan, or the rows of ``flatten_reports``, which
     keep their report's order whatever they hold.
@@ -102,7 +103,10 @@ def sarif_document(findings: DataFrame, tool: Tool = Tool()) -> DataFrame:
         F.lit(f'{{"$schema":"{SCHEMA_URL}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{"name":'),
         doc.json_text(F.lit(tool.name)), F.lit(',"informationUri":'), doc.json_text(F.lit(tool.information_uri)),
         F.lit(',"version":'), doc.json_text(F.lit(tool.version)), F.lit(',"rules":['))
-    repositories = findings.select("repository").distinct()
+    repositories = findings.select("repository")
+    if window is not None:
+        repositories = repositories.unionByName(window.select("repository"))
+    repositories = repositories.distinct()
     rules = doc.mark_first(sarif_rules(findings), ["repository"], ["id"])
     results = doc.mark_first(sarif_results(ordered), ["repository"], order)
     in_order = ({"commit_rank": F.col("commit_ord"), "line_number": F.col("finding_ord")}
