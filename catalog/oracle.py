@@ -224,8 +224,7 @@ MESSAGES = ("u", """SELECT repository, commit_hash, commit_rank, author, date, '
 
 LINK_COUNTS = """
 SELECT rule, sum(n)::BIGINT AS hits FROM (
-  SELECT 'link' AS rule, len(regexp_extract_all(t, 'https?://[^\\s"''<>]+', 0)) AS n FROM x
-  UNION ALL SELECT 'page_path', len(regexp_extract_all(t, 'href="/[A-Za-z]+"', 0)) FROM x
+  SELECT 'page_path' AS rule, len(regexp_extract_all(t, 'href="/[A-Za-z]+"', 0)) AS n FROM x
   UNION ALL SELECT rule, 1 FROM located) GROUP BY rule HAVING sum(n) > 0"""
 OTHER_TEXTS = [("x", "SELECT html AS t FROM pages UNION ALL SELECT text FROM conversations"), ("u", """
 SELECT '' AS repository, '' AS commit_hash, 0 AS commit_rank, '' AS file_path, '' AS author, '' AS date, t,

@@ -53,12 +53,13 @@ def custom_rule_token(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_text_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches per rule in pages and conversations as they are, plus a rule for links."""
-    link = Rule("link", r"https?://[^\s\"'<>]+", ("http",), "A link")
+    """Matches per rule in pages and conversations as they are; the rules come from a
+    table that also has one for relative links."""
     path = Rule("page_path", r'href="/[A-Za-z]+"', ("href",), "A relative link")
+    rules = RuleSet.from_df(RULES.add(path).to_df(spark))
     texts = inputs.page_units(spark, sf).select("text").unionByName(
         inputs.table(spark, sf, "conversations").select("text"))
-    return match.count_by_rule(texts, RULES.add(link).add(path))
+    return match.count_by_rule(texts, rules)
 
 
 def findings_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,9 +10,11 @@ from keysift.operators.rules import RuleSet
 KEEP = 4
 DOTS = "..."
 
-# A short label, `:` or `=`, an optional quote. The label is limited so that a
-# long run before a base64 `=` is never taken for one.
-ASSIGNMENT = r"""(?s)^(["']?[A-Za-z_][A-Za-z0-9_.-]{0,31}["']?[ \t]*[:=]\s*["']?).*$"""
+# A short label, `:` or `=`, an optional quote; then the value's first word. The label is
+# limited, and `==` or a lone trailing `=` is no assignment, so that a base64 text is
+# never taken for a label.
+ASSIGNMENT = (r"""(?s)^(["']?[A-Za-z_][A-Za-z0-9_.-]{0,31}["']?[ \t]*[:=]\s*["']?)"""
+              r"""([^=\s"'][^\s"']*).*$""")
 
 
 def head(s: Column) -> Column:
@@ -48,6 +50,9 @@ def redact(snippet: Column, rules: RuleSet) -> Column:
 
 
 def redact_text(s: Column, snippet: Column, rules: RuleSet) -> Column:
-    """Free text about a finding: its snippet and any rule match are masked."""
+    """Free text about a finding: its snippet, the value assigned in it, and any rule
+    match are masked."""
+    value = F.regexp_extract(snippet, ASSIGNMENT, 2)
     whole = F.when(F.length(F.trim(snippet)) > 0, F.replace(s, snippet, head(snippet))).otherwise(s)
-    return mask_matches(whole, rules)
+    parts = F.when(F.length(value) > KEEP, F.replace(whole, value, head(value))).otherwise(whole)
+    return mask_matches(parts, rules)
