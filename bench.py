@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = ["rule_hits", "findings_scored", "findings_redacted", "findings_dedup", "document_findings",
             "by_source", "report_json", "sarif_json", "chunks", "prompts", "inference_distinct", "cache_miss",
             "model_parse", "last_n", "diff_lines", "repository_scan"]
-RUNS = 2
+RUNS = 3
 
 
 def main() -> None:
