@@ -174,6 +174,14 @@ class Rolling:
         return mix(self.raw(begin, end) + (end - begin).astype(np.uint64) * MULTIPLIERS[255])
 
 
+def of_runs(h: np.ndarray, which: int = 0):
+    """A function of begins and ends: hashes of runs of items, from the items' hashes."""
+    powers, back = _powers(which, len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers[:len(h)], out=sums[1:])
+    return lambda a, b: mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 

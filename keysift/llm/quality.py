@@ -130,3 +130,9 @@ def judge_text(text: bytes | None, bands: Bands, compressor: zstandard.ZstdCompr
     ratio, bad, why = bands.verdict(text, compressor)
     return (n, len(text.translate(None, SPACES + _CONTINUES)), len(text) - len(text.translate(None, _SYMBOLS)),
             repeated_lines(text), repeats, failed, ratio, bad, "base" if failed else why, not failed and not why)
+
+
+def keeps(texts: list[bytes | None], bands: Bands = Bands()) -> list[bool]:
+    """The verdict on some texts."""
+    compressor = zstandard.ZstdCompressor(level=bands.level)
+    return [judge_text(t, bands, compressor)[-1] for t in texts]
