@@ -8,12 +8,12 @@ from collections.abc import Callable
 from keysift.operators.prompts import AFTER_CONTENT, BEFORE_CONTENT
 
 
-def line_flagger(needle: str, kind: str) -> Callable[[], Callable[[str], str]]:
+def line_flagger(needle: str, kind: str) -> Callable[..., Callable[[str], str]]:
     """A client factory; the client names every content line that holds ``needle``.
 
     Plain nested functions travel to the executors by value, without this package.
     """
-    def client() -> Callable[[str], str]:
+    def client(_options) -> Callable[[str], str]:
         def answer(prompt: str) -> str:
             content = prompt.split(BEFORE_CONTENT, 1)[1].rsplit(AFTER_CONTENT, 1)[0]
             return json.dumps([
@@ -21,3 +21,14 @@ def line_flagger(needle: str, kind: str) -> Callable[[], Callable[[str], str]]:
                 for i, line in enumerate(content.split("\n"), 1) if needle in line])
         return answer
     return client
+
+
+def refuser(needle: str) -> Callable[..., Callable[[str], str]]:
+    """A client factory; calls with ``needle`` in the content fail, others find nothing."""
+    def client(_options) -> Callable[[str], str]:
+        def answer(prompt: str) -> str:
+            if needle in prompt.split(BEFORE_CONTENT, 1)[1].rsplit(AFTER_CONTENT, 1)[0]:
+                raise RuntimeError("refused")
+            return "[]"
+        return answer
+    return client

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.operators.diff import text_units
-from keysift.sources.tables import spread
 
 # One secret per built-in rule, in rule order; {h} is an md5 in hex.
 SECRETS = [
@@ -82,6 +81,24 @@ SELECT 'r' || cast(page_id % 11 AS string), 'uncommitted', 'untracked', url,
        html || chr(10) || {secret('page_id')}
 FROM pages"""
 
+# A merge of two parents: the text's lines are new to both, or to one of them.
+MERGES = """
+SELECT source AS repository, md5(cast(doc_id AS string)) AS commit_hash, 'commit' AS origin,
+       cast(doc_id AS string) AS file_path,
+       'diff --cc x' || chr(10) || '@@@ -1,3 -1,2 +10,4 @@@ part' || chr(10) || '  context' || chr(10)
+       || '- gone = 1' || chr(10) || ' -gone = 2' || chr(10) || '--gone = 3' || chr(10)
+       || '++' || replace(text, chr(10), chr(10) || ' +') || chr(10) || '  tail' AS patch
+FROM documents"""
+
+# A secret inside the label of another one.
+NESTED = """
+SELECT doc_id, source, lang, text || chr(10) || 'twitterPIN' || lpad(cast(doc_id % 1000000 AS string), 6, '0')
+       || '=' || chr(34) || md5(cast(doc_id AS string)) || chr(34) AS t FROM documents"""
+
+# Braces throughout, and a secret at the end.
+BRACED = """
+SELECT page_id, replace(html, 'e', '{e}') || chr(10) || 'token = ' || cast(page_id AS string) AS t FROM pages"""
+
 # Model answers in the shapes models give, by turn; the text has no quotes or braces.
 ANSWER_ITEM = """'{"line": ' || cast(turn + 1 AS string) || ', "snippet": "' || s || '", "type": "password",'
   || ' "confidence": "high", "rationale": "r' || cast(conv_id AS string) || '"}'"""
@@ -112,6 +129,11 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", sql))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads the given small tables, one file and one row group each, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, *keys)
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return documents.selectExpr("doc_id", "source", "lang", f"text || chr(10) || {secret('doc_id')} AS t")
@@ -140,5 +162,17 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
                   "repository", "commit_hash", "file_path")
 
 
+def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, MERGES)
+
+
+def nested_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_units(spread(run(spark, sf_dir, NESTED), "doc_id"), F.col("source"), F.col("doc_id"), F.col("t"))
+
+
+def braced_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_units(spread(run(spark, sf_dir, BRACED), "page_id"), F.lit("web"), F.col("page_id"), F.col("t"))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, RESPONSES)

@@ -7,7 +7,7 @@ before a match, diff lines from running sums, de-duplication from row_number.
 from __future__ import annotations
 
 from catalog import inputs
-from catalog.queries import FINDING, MODEL, RULES, TOKEN_RULE
+from catalog.queries import FINDING, MODEL, PIN_RULE, RULES, TOKEN_RULE
 from keysift.functions.redact import ASSIGNMENT
 from keysift.operators.prompts import AFTER_CONTENT, BEFORE_CONTENT, BEFORE_RULES
 from keysift.operators.rules import Rule, RuleSet
@@ -89,23 +89,24 @@ COUNTS = """SELECT repository, count(*) AS total_findings,
   count(*) FILTER (confidence = 'low') AS low_confidence FROM f GROUP BY repository"""
 FIRST = "CASE WHEN row_number() OVER (PARTITION BY repository ORDER BY {}) = 1 THEN '' ELSE ',' END"
 BY_ITEM = "file_path, line_number, finding_type, secret_sha256"
-REDACTED_ONCE = ("r", f"SELECT * REPLACE ({REDACTED} AS snippet) FROM (SELECT DISTINCT * FROM f)")
 
-REPORT = planted(f"""
+FIRST_COMMIT = "CASE WHEN row_number() OVER (PARTITION BY repository ORDER BY commit_rank, commit_hash) = 1 THEN '' ELSE ',' END"
+FIRST_ITEM = ("CASE WHEN row_number() OVER (PARTITION BY repository, commit_rank, commit_hash ORDER BY "
+              "file_path, line_number, finding_type, secret_sha256) = 1 THEN '' ELSE ',' END")
+REPORT_LINES = f"""
 SELECT repository, 0 AS block, 0 AS part, '{{"scan_info":' || json_object('repository', repository,
   'commits_scanned', 0, 'total_findings', total_findings, 'high_confidence', high_confidence,
   'medium_confidence', medium_confidence, 'low_confidence', low_confidence)::VARCHAR
   || ',"findings_by_commit":{{' AS line FROM c
-UNION ALL SELECT repository, 1, 0, '"uncommitted":[' FROM c
-UNION ALL SELECT repository, 1, 1, {FIRST.format(BY_ITEM)} || json_object('file_path', file_path,
+UNION ALL SELECT repository, 1, 0, {FIRST_COMMIT} || '"' || commit_hash || '":[' FROM rk
+UNION ALL SELECT repository, 1, 1, {FIRST_ITEM} || json_object('file_path', file_path,
   'line_number', line_number, 'snippet', snippet, 'finding_type', finding_type, 'confidence', confidence,
-  'rationale', rationale, 'author', NULL, 'date', NULL, 'is_uncommitted', true)::VARCHAR FROM r
-UNION ALL SELECT repository, 1, 2, ']' FROM c
+  'rationale', rationale, 'author', author, 'date', date, 'is_uncommitted', is_uncommitted)::VARCHAR FROM r
+UNION ALL SELECT repository, 1, 2, ']' FROM rk
 UNION ALL SELECT repository, 2, 0, '}},"summary":{{"finding_types":{{' FROM c
 UNION ALL SELECT repository, 3, 0, {FIRST.format('finding_type')} || '"' || finding_type || '":' || n
   FROM (SELECT repository, finding_type, count(*) AS n FROM r GROUP BY ALL)
-UNION ALL SELECT repository, 4, 0, '}}}}}}' FROM c""",
-    ("c", COUNTS), REDACTED_ONCE)
+UNION ALL SELECT repository, 4, 0, '}}}}}}' FROM c"""
 
 TEXT = "json_object('text', {})"
 RULE_JSON = f"""json_object('id', id, 'name', {typed('id')}, 'shortDescription', {TEXT.format("'Detects ' || w")},
@@ -126,29 +127,36 @@ def result_json(rule: str, message: str, commit: str, author: str, date: str) ->
 
 SARIF_HEAD = (f'{{"$schema":"{sarif.SCHEMA_URL}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"keysift",'
               '"informationUri":"https://example.com/keysift","version":"1.0.0","rules":[')
-SARIF = planted(f"""
+SHORT = "CASE WHEN commit_hash = 'uncommitted' THEN commit_hash ELSE substr(commit_hash, 1, 8) END"
+
+
+def sarif_lines(results: str, order: str, rule: str, message: str) -> str:
+    return f"""
 SELECT repository, 0 AS block, {q(SARIF_HEAD)} AS line FROM c
 UNION ALL SELECT repository, 1, {FIRST.format('id')} || {RULE_JSON}
-  FROM (SELECT DISTINCT repository, finding_type AS id, replace(finding_type, '_', ' ') AS w FROM r)
+  FROM (SELECT DISTINCT repository, {rule} AS id, replace({rule}, '_', ' ') AS w FROM {results})
 UNION ALL SELECT repository, 2, ']}}}},"results":[' FROM c
-UNION ALL SELECT repository, 3, {FIRST.format(BY_ITEM)} || {result_json(
-        'finding_type', 'rationale', 'commit_hash', "'unknown'", "'unknown'")} FROM r
-UNION ALL SELECT repository, 4, ']}}]}}' FROM c""",
-    ("c", COUNTS), REDACTED_ONCE)
-
-# Reports of one document each, read back: two findings in a commit, one uncommitted.
-REPORT_ROWS = [PLANTED, ("ls", "SELECT doc_id, string_split(t, chr(10)) AS ls FROM planted"), ("rows", """
-SELECT CAST(doc_id AS VARCHAR) AS repository, 0 AS commit_ord, md5(CAST(doc_id AS VARCHAR)) AS commit_hash,
-  0 AS finding_ord, 'docs/' || doc_id AS file_path, CAST(len(ls) AS INTEGER) AS line_number, ls[len(ls)] AS snippet,
-  'api_key' AS finding_type, 'High' AS confidence, NULL::VARCHAR AS rationale, 'a' AS author, NULL::VARCHAR AS date
-FROM ls
-UNION ALL
-SELECT CAST(doc_id AS VARCHAR), 0, md5(CAST(doc_id AS VARCHAR)), 1, 'docs/' || doc_id, CAST(len(ls) - 1 AS INTEGER),
-  ls[len(ls) - 1], NULL, 'High', NULL, 'a', NULL FROM ls
+UNION ALL SELECT repository, 3, {FIRST.format(order)} || {result_json(
+        rule, message, SHORT, "coalesce(author, 'unknown')", "coalesce(date, 'unknown')")} FROM {results}
+UNION ALL SELECT repository, 4, ']}}]}}' FROM c"""
+
+
+# A report of each document, read back: a finding in each line, the last one also uncommitted.
+
+
+def report_rows(repository: str) -> list[tuple[str, str]]:
+    kind = "CASE n % 3 WHEN 0 THEN 'api_key' WHEN 1 THEN 'weird kind' END"
+    rest = "'High' AS confidence, NULL::VARCHAR AS rationale, 'a' AS author, NULL::VARCHAR AS date"
+    return [PLANTED, ("ls", f"""
+SELECT doc_id, CAST({repository} AS VARCHAR) AS repository, CAST(doc_id AS VARCHAR) AS report,
+       'docs/' || doc_id AS file_path, string_split(t, chr(10)) AS ls FROM planted"""), ("rows", f"""
+SELECT repository, report, 0 AS commit_ord, md5(CAST(doc_id AS VARCHAR)) AS commit_hash, CAST(n - 1 AS INTEGER) AS finding_ord,
+  file_path, CAST(n AS INTEGER) AS line_number, ls[n] AS snippet, {kind} AS finding_type, {rest}
+FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS n FROM ls)
 UNION ALL
-SELECT CAST(doc_id AS VARCHAR), 1, 'uncommitted', 0, 'docs/' || doc_id, CAST(len(ls) AS INTEGER), ls[len(ls)],
-  'odd-2name x', 'High', NULL, 'a', NULL FROM ls""")]
-SHORT = "CASE WHEN commit_hash = 'uncommitted' THEN commit_hash ELSE substr(commit_hash, 1, 8) END"
+SELECT repository, report, 1, 'uncommitted', 0, file_path, CAST(len(ls) AS INTEGER), ls[len(ls)],
+  {kind.replace('n %', 'len(ls) %')}, 'High', NULL, 'a', NULL FROM ls""")]
+
 
 # --- the text model
 
@@ -161,6 +169,16 @@ FROM (SELECT CAST({key} AS VARCHAR) AS file_path, {text} AS text, * EXCLUDE ({te
              unnest(range(0, greatest(length({text}), 1), {size})) AS off FROM {table})""")
 
 
+def braced_chunks() -> list[tuple[str, str]]:
+    """Slices of 2048 characters, those too long with doubled braces in parts of 1500."""
+    doubled = "length(content) + len(regexp_extract_all(content, '[{}]'))"
+    return [("braced", inputs.BRACED), chunked("braced", "page_id", "t", 2048, "whole"), ("ch", f"""
+SELECT 'web' AS source, file_path, substr(content, cut + 1, size) AS content,
+       start_line + {nl('substr(content, 1, cut)')} AS start_line
+FROM (SELECT *, unnest(range(0, greatest(length(content), 1), size)) AS cut FROM (
+  SELECT *, CASE WHEN {doubled} > 3000 THEN 1500 ELSE 2048 END AS size FROM whole))""")]
+
+
 DOC_CHUNKS = chunked("documents", "doc_id", "text", 2048)
 PAGE_CHUNKS = chunked("pages", "page_id", "html", 2048)
 KEY = (f"sha256(concat_ws(chr(0), {q(MODEL.model)}, {q(MODEL.options_text())}, {q(RULES.digest())}, content))")
@@ -219,6 +237,7 @@ SELECT repository, commit_hash, 0, origin, file_path, NULL, NULL, patch, NULL FR
 UNION ALL
 SELECT repository, commit_hash, commit_rank, 'message', 'COMMIT_MESSAGE', author, date, message, NULL FROM w""")]
 SCAN = [*UNITS, *hits(RULES), ("d", "SELECT DISTINCT * FROM f")]
+SCANNED = ("r", f"SELECT * REPLACE ({REDACTED} AS snippet) FROM d")
 MESSAGES = ("u", """SELECT repository, commit_hash, commit_rank, author, date, 'COMMIT_MESSAGE' AS file_path,
   message AS t, NULL::INTEGER[] AS line_nos FROM w""")
 
@@ -258,9 +277,15 @@ SELECT {REDACTED_COLUMNS} FROM (SELECT DISTINCT * FROM (SELECT * FROM f UNION AL
 SELECT repository, 0::BIGINT AS commits_scanned, total_findings, high_confidence, medium_confidence, low_confidence
 FROM c""", ("c", COUNTS)),
     "finding_types": planted("SELECT repository, finding_type, count(*) AS findings FROM f GROUP BY ALL"),
-    "report_json": REPORT,
-    "report_flatten": with_(*REPORT_ROWS, select="SELECT * FROM rows"),
-    "sarif_of_reports": with_(*REPORT_ROWS, select=f"""
+    "findings_nested": with_(("planted", inputs.NESTED), PLANTED_UNITS, *hits(RULES.add(PIN_RULE)), select=f"""
+SELECT file_path, line_number, finding_type, regexp_replace({REDACTED}, '(PIN[0-9])[0-9]{{5}}', '\\1...', 'g') AS snippet,
+       secret_sha256 FROM f"""),
+    "report_json": with_(*SCAN, SCANNED, ("c", COUNTS.replace("FROM f", "FROM r")), (
+        "rk", "SELECT DISTINCT repository, commit_rank, commit_hash FROM r"), select=REPORT_LINES),
+    "report_flatten": with_(*report_rows("doc_id"), select="SELECT * EXCLUDE (report) FROM rows"),
+    "sarif_two_reports": with_(*report_rows("source"), ("c", "SELECT DISTINCT repository FROM rows"), select=sarif_lines(
+        "rows", "report, commit_ord, finding_ord", "coalesce(finding_type, 'unknown')", "'Potential secret detected'")),
+    "sarif_of_reports": with_(*report_rows("doc_id"), select=f"""
 SELECT repository, commit_ord, finding_ord, {result_json(
         "coalesce(finding_type, 'unknown')", "'Potential secret detected'", SHORT, "author", "'unknown'")} AS result
 FROM rows"""),
@@ -272,7 +297,8 @@ SELECT DISTINCT repository, finding_type AS id, {typed('finding_type')} AS title
     "sarif_results": planted(f"""
 SELECT repository, finding_type AS rule_id, {LEVEL} AS level, rationale AS message, file_path AS uri,
   line_number AS start_line, {REDACTED} AS snippet, {SHORT} AS commit, 'unknown' AS author FROM f"""),
-    "sarif_json": SARIF,
+    "sarif_json": with_(*SCAN, SCANNED, ("c", "SELECT DISTINCT repository FROM r"), select=sarif_lines(
+        "r", f"commit_rank, commit_hash, {BY_ITEM}", "finding_type", "rationale")),
     "chunks": with_(DOC_CHUNKS, select="SELECT file_path, chunk_no, start_line, content FROM ch"),
     "page_chunks": with_(chunked("pages", "page_id", "html", 500),
                          select="SELECT file_path, chunk_no, start_line, content FROM ch"),
@@ -285,6 +311,21 @@ SELECT file_path, chunk_no, {q(BEFORE_RULES + RULES.describe() + BEFORE_CONTENT)
 SELECT {KEY} AS cache_key, count(*) AS copies FROM ch GROUP BY 1
 HAVING {KEY.replace('content', 'any_value(content)')} NOT IN (
   SELECT {KEY} FROM ch WHERE doc_id IN (SELECT doc_id FROM labels))"""),
+    "scan_with_cache": with_(
+        DOCUMENT_UNITS, *hits(RULES.add(TOKEN_RULE)), (
+            "ch0", DOC_CHUNKS[1]), ("ch", """
+SELECT * FROM ch0 WHERE content NOT IN (SELECT content FROM ch0 WHERE doc_id IN (SELECT doc_id FROM labels))"""),
+        CHUNK_LINES, MODEL_FINDINGS, select=f"""
+SELECT {REDACTED_COLUMNS} FROM (SELECT DISTINCT * FROM (SELECT * FROM f UNION ALL SELECT * FROM mf))"""),
+    "model_scan_braces": with_(*braced_chunks(), CHUNK_LINES, MODEL_FINDINGS, select="""
+SELECT file_path, line_number, snippet FROM mf"""),
+    "model_failures": with_(DOC_CHUNKS, select="""
+SELECT source AS repository, count(*) AS failed_chunks, 'RuntimeError: refused' AS error
+FROM ch WHERE contains(content, 'token = "') GROUP BY 1"""),
+    "merge_diff_lines": """
+SELECT source AS repository, md5(CAST(doc_id AS VARCHAR)) AS commit_hash, CAST(doc_id AS VARCHAR) AS file_path,
+       1 AS hunk_no, CAST(10 + n AS INTEGER) AS line_no, ls[n] AS line
+FROM (SELECT *, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)""",
     "cached_answers": with_(DOC_CHUNKS, select="""
 SELECT source AS repository, file_path, chunk_no, 'token' AS type FROM ch WHERE contains(content, 'token = "')"""),
     "model_answers": with_(PAGE_CHUNKS, ("k", f"SELECT DISTINCT {KEY} AS cache_key, content FROM ch"),

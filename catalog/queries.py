@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.clients import line_flagger
+from catalog.clients import line_flagger, refuser
 from keysift import schemas
 from keysift.operators import answers as ans
 from keysift.operators import diff, history, match
 from keysift.operators.chunks import chunk_units
 from keysift.operators.dedup import dedup_findings
 from keysift.operators.inference import (
-    ask, attach_answers, distinct_chunks, keyed_chunks, model_findings, not_cached)
+    ask, attach_answers, contents_of, distinct_chunks, keyed_chunks, keyed_contents, model_findings, model_run,
+    not_cached)
 from keysift.operators.prompts import ModelOptions, clamp_content, prompt
 from keysift.operators.rules import Rule, RuleSet, default_rules
 from keysift.plans import report, sarif, summary
@@ -28,6 +29,7 @@ MODEL = ModelOptions()
 # A secret the given documents do hold, as a custom rule.
 TOKEN_RULE = Rule("hex_token", r'(?i)token[\s]*=[\s]*"[0-9a-f]{40}"', ("token",),
                   "Forty hex digits assigned to a token", Decimal("0.2"))
+PIN_RULE = Rule("short_pin", r"PIN[0-9]{6}", ("pin",), "A number of six digits")
 FINDING = ["repository", "commit_hash", "file_path", "line_number", "snippet", "finding_type",
            "confidence", "rationale", "author", "date", "is_uncommitted", "detector", "secret_sha256"]
 
@@ -81,6 +83,13 @@ def findings_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return redact_findings(_planted_findings(spark, sf), RULES).select(*FINDING)
 
 
+def findings_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Redaction of secrets that stand in the label of others."""
+    rules = RULES.add(PIN_RULE)
+    found = match.regex_findings(inputs.nested_units(spark, sf), rules)
+    return redact_findings(found, rules).select("file_path", "line_number", "finding_type", "snippet", "secret_sha256")
+
+
 def _with_copies(spark: SparkSession, sf: str) -> DataFrame:
     """Regex findings, the same ones again as a staged change has them, and a model's
     version of them with other confidences."""
@@ -116,53 +125,63 @@ def by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def finding_types(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.type_counts(_planted_findings(spark, sf))
+    return match.type_counts(inputs.planted_units(spark, sf), RULES)
 
 
-def _saved_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Finished findings, scanned once: a document goes over them several times."""
-    return cut_lineage(redact_findings(dedup_findings(_planted_findings(spark, sf)), RULES))
+def _saved_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Finished findings of many commits, scanned once: a document goes over them several times."""
+    return cut_lineage(scan(inputs.commits(spark, sf), inputs.patches(spark, sf), RULES))
 
 
 def report_json(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON reports, as document lines."""
-    found = _saved_findings(spark, sf)
+    found = _saved_scan(spark, sf)
     return report.report_document(found).select("repository", "block", F.coalesce("part", F.lit(0)).alias("part"), "line")
 
 
-def _small_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """One parsed report per document, written as JSON from its last two lines."""
-    docs = inputs.planted(spark, sf).select("doc_id", F.split("t", "\n").alias("ls"))
-    item = lambda kind, line: F.struct(
-        F.concat(F.lit("docs/"), F.col("doc_id")).alias("file_path"),
-        line.alias("line_number"), F.get("ls", line - 1).alias("snippet"),
-        kind.alias("finding_type"), F.lit("High").alias("confidence"), F.lit(None).cast("string").alias("rationale"),
-        F.lit("a").alias("author"), F.lit(None).cast("string").alias("date"), F.lit(False).alias("is_uncommitted"))
-    last = F.size("ls")
+def _reports(spark: SparkSession, sf: str, repository: str = "doc_id") -> DataFrame:
+    """One parsed report per document, written as JSON: a finding in each line, and the last one
+    once more as not committed."""
+    docs = inputs.planted(spark, sf).select("*", F.split("t", "\n").alias("ls"))
+
+    def item(line, number):
+        kind = F.when(number % 3 == 0, "api_key").when(number % 3 == 1, "weird kind")
+        return F.struct(
+            F.concat(F.lit("docs/"), F.col("doc_id")).alias("file_path"),
+            number.alias("line_number"), line.alias("snippet"), kind.alias("finding_type"),
+            F.lit("High").alias("confidence"), F.lit(None).cast("string").alias("rationale"),
+            F.lit("a").alias("author"), F.lit(None).cast("string").alias("date"), F.lit(False).alias("is_uncommitted"))
+
     text = F.to_json(F.struct(
-        F.struct(F.col("doc_id").cast("string").alias("repository")).alias("scan_info"),
+        F.struct(F.col(repository).cast("string").alias("repository")).alias("scan_info"),
         F.create_map(
-            F.md5(F.col("doc_id").cast("string")), F.array(
-                item(F.lit("api_key"), last), item(F.lit(None).cast("string"), last - 1)),
-            F.lit(schemas.UNCOMMITTED), F.array(item(F.lit("odd-2name x"), last))).alias("findings_by_commit")))
-    return docs.select(F.from_json(text, schemas.REPORT).alias("r")).select("r.*")
+            F.md5(F.col("doc_id").cast("string")), F.transform("ls", lambda x, i: item(x, i + 1)),
+            F.lit(schemas.UNCOMMITTED), F.array(item(F.element_at("ls", -1), F.size("ls")))).alias("findings_by_commit")))
+    parsed = docs.select(F.col("doc_id").cast("string").alias("report_path"), F.from_json(text, schemas.REPORT).alias("r"))
+    return parsed.select("report_path", "r.*")
 
 
 def report_flatten(spark: SparkSession, sf: str) -> DataFrame:
     """Reports read back as rows, in their order."""
-    return report.flatten_reports(_small_reports(spark, sf)).select(
+    return report.flatten_reports(_reports(spark, sf)).select(
         "repository", "commit_ord", "commit_hash", "finding_ord", "file_path", "line_number",
         "snippet", "finding_type", "confidence", "rationale", "author", "date")
 
 
 def sarif_of_reports(spark: SparkSession, sf: str) -> DataFrame:
     """SARIF results of reports, with defaults for what they leave out."""
-    rows = sarif.sarif_results(report.flatten_reports(_small_reports(spark, sf)))
+    rows = sarif.sarif_results(report.flatten_reports(_reports(spark, sf)))
     return rows.select("repository", "commit_ord", "finding_ord", F.to_json("result").alias("result"))
 
 
+def sarif_two_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of each source, from the reports of all its documents."""
+    rows = cut_lineage(report.flatten_reports(_reports(spark, sf, "source")))
+    return sarif.sarif_document(rows).select("repository", "block", "line")
+
+
 def sarif_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return sarif.sarif_rules(_planted_findings(spark, sf)).select(
+    return sarif.sarif_rules(match.type_counts(inputs.planted_units(spark, sf), RULES)).select(
         "repository", "id", F.col("rule.name").alias("title"),
         F.col("rule.shortDescription.text").alias("short_text"),
         F.col("rule.fullDescription.text").alias("full_text"),
@@ -181,7 +200,7 @@ def sarif_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def sarif_json(spark: SparkSession, sf: str) -> DataFrame:
     """The SARIF logs, as document lines."""
-    found = _saved_findings(spark, sf)
+    found = _saved_scan(spark, sf)
     return sarif.sarif_document(found).select("repository", "block", "line")
 
 
@@ -215,23 +234,32 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def inference_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Contents to ask about, once each."""
-    return distinct_chunks(_document_chunks(spark, sf)).select("cache_key", "copies")
+    return distinct_chunks(keyed_contents(inputs.document_units(spark, sf), RULES, MODEL))
 
 
-def _cache(spark: SparkSession, sf: str) -> DataFrame:
+def _cache(spark: SparkSession, sf: str, rules: RuleSet = RULES) -> DataFrame:
     """Answers known from before: those for the labelled documents."""
     labelled = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("file_path")).distinct()
-    return (_document_chunks(spark, sf).join(labelled, "file_path", "left_semi")
-            .select("cache_key", F.lit("[]").alias("response")).distinct())
+    units = inputs.document_units(spark, sf).join(labelled, "file_path", "left_semi")
+    return keyed_contents(units, rules, MODEL).select("cache_key", F.lit("[]").alias("response")).distinct()
 
 
 def cache_miss(spark: SparkSession, sf: str) -> DataFrame:
-    return not_cached(distinct_chunks(_document_chunks(spark, sf)), _cache(spark, sf)).select("cache_key", "copies")
+    keys = distinct_chunks(keyed_contents(inputs.document_units(spark, sf), RULES, MODEL))
+    return not_cached(keys, _cache(spark, sf))
+
+
+def scan_with_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules, a client, and a cache that says of the labelled documents that they are clean."""
+    rules = RULES.add(TOKEN_RULE)
+    return scan_texts(inputs.document_units(spark, sf), rules, line_flagger("token = ", "api_key"),
+                      cache=_cache(spark, sf, rules)).select(*FINDING)
 
 
 def cached_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks with a known answer that names a secret."""
-    known = distinct_chunks(_document_chunks(spark, sf)).select(
+    chunks = keyed_contents(inputs.document_units(spark, sf), RULES, MODEL)
+    known = contents_of(distinct_chunks(chunks), chunks).select(
         "cache_key", "copies",
         F.when(F.col("content").contains('token = "'), '[{"line": 1, "type": "token"}]').otherwise("[]").alias("response"))
     return attach_answers(_document_chunks(spark, sf), known).select(
@@ -240,8 +268,8 @@ def cached_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A model's answer to every distinct page chunk."""
-    todo = distinct_chunks(keyed_chunks(inputs.page_units(spark, sf), RULES, MODEL))
-    answered = ask(todo, RULES, line_flagger("<script>", "page_script"))
+    chunks = keyed_contents(inputs.page_units(spark, sf), RULES, MODEL)
+    answered = ask(contents_of(distinct_chunks(chunks), chunks), RULES, line_flagger("<script>", "page_script"))
     return answered.withColumn("answer", ans.parse_answer(F.col("response"))).select(
         "cache_key", "copies", F.array_join("answer.line", ",").alias("lines"), "error")
 
@@ -259,6 +287,17 @@ def model_scan(spark: SparkSession, sf: str) -> DataFrame:
         "repository", "file_path", "line_number", "snippet", "finding_type", "confidence", "rationale", "detector")
 
 
+def model_scan_braces(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's findings in texts full of braces, which prompts double."""
+    return model_findings(inputs.braced_units(spark, sf), RULES, line_flagger("token = ", "api_key"), MODEL).select(
+        "file_path", "line_number", "snippet")
+
+
+def model_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by source of which nothing is known, as the model's call failed."""
+    return model_run(inputs.document_units(spark, sf), RULES, refuser('token = "'), MODEL).failures
+
+
 # --- commits and diffs
 
 def last_n(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,6 +314,12 @@ def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
         "repository", "commit_hash", "file_path", "hunk_no", "line_no", "line")
 
 
+def merge_diff_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Added lines of merges."""
+    return diff.diff_lines(inputs.merges(spark, sf)).select(
+        "repository", "commit_hash", "file_path", "hunk_no", "line_no", "line")
+
+
 def message_units(spark: SparkSession, sf: str) -> DataFrame:
     return diff.message_units(history.last_n(inputs.commits(spark, sf), 10)).select(
         "repository", "commit_hash", "commit_rank", "file_path", "author", "date", "text")
@@ -332,11 +377,11 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 ALL = [
     rule_hits, rule_hit_values, custom_rule_token, raw_text_hits, findings_lines, findings_scored,
-    findings_redacted, findings_dedup, finding_rules, document_findings,
-    by_source, finding_types, report_json, report_flatten, sarif_of_reports, sarif_rules, sarif_results, sarif_json,
+    findings_redacted, findings_nested, findings_dedup, finding_rules, document_findings,
+    by_source, finding_types, report_json, report_flatten, sarif_of_reports, sarif_two_reports, sarif_rules, sarif_results, sarif_json,
     chunks, page_chunks, prompt_content, prompts, inference_distinct, cache_miss, cached_answers,
-    model_answers, model_parse, model_scan,
-    last_n, commits_scanned, diff_lines, message_units, scan_units, repository_scan, uncommitted_findings,
+    scan_with_cache, model_answers, model_parse, model_scan, model_scan_braces, model_failures,
+    last_n, commits_scanned, diff_lines, merge_diff_lines, message_units, scan_units, repository_scan, uncommitted_findings,
     commit_details, repository_summary, stream_scan,
 ]
 QUERIES = {q.__name__: q for q in ALL}

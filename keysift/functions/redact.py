@@ -49,6 +49,15 @@ def redact(snippet: Column, rules: RuleSet) -> Column:
     return mask_matches(cut, rules)
 
 
+def redact_model(snippet: Column, rules: RuleSet) -> Column:
+    """A model's snippet is free text: what stands before ``:`` or ``=`` may be the secret. It is kept if it
+    is letters, and one of its parts is a rule keyword; else only the head is."""
+    words = sorted({k.lower() for rule in rules for k in rule.keywords})
+    label = F.lower(F.regexp_extract(snippet, r"""^["']?([A-Za-z_.-]+)["']?[ \t]*[:=]""", 1))
+    known = F.arrays_overlap(F.split(label, "[_.-]+"), F.array(*map(F.lit, words)).cast("array<string>"))
+    return F.when(known, redact(snippet, rules)).otherwise(mask_matches(head(snippet), rules))
+
+
 def redact_text(s: Column, snippet: Column, rules: RuleSet) -> Column:
     """Free text about a finding: its snippet, the value assigned in it, and any rule
     match are masked."""

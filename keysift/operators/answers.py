@@ -13,7 +13,7 @@ DEFAULT_TYPE = "unknown"
 DEFAULT_CONFIDENCE = "low"
 DEFAULT_RATIONALE = "Potential secret detected"
 
-# An array of objects, and one whose end is missing.
+# How an answer is found in a response. An array of objects, and one whose end is missing.
 CLOSED = r"(?s)(\[\s*\{.*?\}\s*\])"
 OPEN = r"(?s)(\[\s*\{.*)"
 FIELDS = {"line": "int", "snippet": "string", "type": "string",

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift import schemas
-from keysift.operators.joins import heavy_join
+from keysift.operators.joins import may_match
 
-HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
+# A merge has a hunk of several parents: one more @, and one more column, for each.
+HUNK = r"^@(@+)(?: -\d+(?:,\d+)?)+ \+(\d+)(?:,\d+)? @@+"
 # UNIX_LINES and MULTILINE: ^ only after a newline
-BEFORE_HUNK = r"(?dm)(?=^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
+BEFORE_HUNK = r"(?dm)(?=^@@+(?: -\d+(?:,\d+)?)+ \+\d+(?:,\d+)? @@+)"
 
 
 def added_lines(patch: Column) -> Column:
@@ -18,29 +19,39 @@ def added_lines(patch: Column) -> Column:
 
     Without the removed lines and the no-newline marker, the lines after a hunk
     header are the new file's lines in a row, so a line's number is the hunk's
-    start plus its position. No window over the lines, hence no shuffle of the text.
+    start plus its position. A line of a merge is removed if one of its columns has a minus, and
+    added if one has a plus: it differs from that parent. No window over the lines, hence no shuffle of the text.
     """
     hunks = F.filter(F.split(patch, BEFORE_HUNK), lambda h: F.regexp_like(h, F.lit(HUNK)))
     # the header is read here, once per hunk; below it would be read for each line
     parsed = F.transform(hunks, lambda h: F.struct(
-        F.regexp_extract(h, HUNK, 1).cast("int").alias("start"),
-        F.filter(F.slice(F.split(h, "\n"), 2, F.length(h) + 1),
-                 lambda x: ~(x.startswith("-") | x.startswith("\\"))).alias("new_file")))
+        F.regexp_extract(h, HUNK, 2).cast("int").alias("start"),
+        F.length(F.regexp_extract(h, HUNK, 1)).alias("parents"),
+        F.slice(F.split(h, "\n"), 2, F.length(h) + 1).alias("lines")))
+    parsed = F.transform(parsed, lambda p: F.struct(
+        p["start"].alias("start"), p["parents"].alias("parents"),
+        F.filter(p["lines"], lambda x: ~(x.substr(F.lit(1), p["parents"]).contains("-") | x.startswith("\\"))).alias("new_file")))
 
     def added(p: Column) -> Column:
         numbered = F.transform(p["new_file"], lambda x, i: F.struct(
             (p["start"] + i).alias("line_no"), x.alias("line")))
-        return F.transform(F.filter(numbered, lambda x: x["line"].startswith("+")), lambda x: F.struct(
+        added = F.filter(numbered, lambda x: x["line"].substr(F.lit(1), p["parents"]).contains("+"))
+        return F.transform(added, lambda x: F.struct(
             x["line_no"].alias("line_no"),
-            x["line"].substr(F.lit(2), F.length(x["line"])).alias("line")))
+            x["line"].substr(p["parents"] + 1, F.length(x["line"])).alias("line")))
 
     return F.transform(parsed, added)
 
 
+def with_origin(patches: DataFrame) -> DataFrame:
+    """A patch of no known origin counts as part of its commit."""
+    return patches.withColumn("origin", F.coalesce("origin", F.lit("commit")))
+
+
 def diff_lines(patches: DataFrame) -> DataFrame:
     """One row per added line of a diff, with its line number in the new file."""
     keys = ["repository", "commit_hash", "origin", "file_path"]
-    return (patches.where(F.col("origin") != "untracked")
+    return (with_origin(patches).where(F.col("origin") != "untracked")
             .select(*keys, F.posexplode(added_lines(F.col("patch"))).alias("_hunk", "_lines"))
             .select(*keys, (F.col("_hunk") + 1).alias("hunk_no"), F.inline("_lines")))
 
@@ -74,12 +85,16 @@ def date_string(ts: Column) -> Column:
 
 def windowed_patches(patches: DataFrame, window: DataFrame) -> DataFrame:
     """The patches to scan with commit_rank, author and date: those of commits in
-    the window, and everything not committed yet (rank 0, no author or date)."""
+    the window, and everything not committed yet (rank 0, no author or date).
+
+    Patches of other commits are dropped before the join, so their texts are not shuffled;
+    a commit with very many patches is split by Spark's skew join."""
+    patches = with_origin(patches)
     committed = F.col("origin") == "commit"
+    key = ["repository", "commit_hash"]
     about = window.select("repository", "commit_hash", "commit_rank", "author",
                           date_string(F.col("commit_date")).alias("date"))
-    of_commits = heavy_join(patches.where(committed), about, ["repository", "commit_hash"],
-                            spread=["file_path"])
+    of_commits = may_match(patches.where(committed), window, key).join(about, key)
     local = patches.where(~committed).select(
         "*", F.lit(0).alias("commit_rank"),
         F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("date"))

@@ -1,13 +1,14 @@
 """Asking a text model: distinct prompts, a cache, and one client per task.
 
-A client factory is any picklable callable without arguments that returns a client:
-a callable from prompt to answer text. A client with ``close()`` is closed when its
-task is done.
+A client factory is any picklable callable that takes the ``ModelOptions`` of the scan, so that
+an answer is filed under the options it was made with, and returns a client: a callable
+from prompt to answer text. A client with ``close()`` is closed when its task is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from keysift import schemas
 from keysift.operators.answers import answer_findings, parse_answer
-from keysift.operators.chunks import CHUNK_CHARS, chunk_units
-from keysift.operators.joins import heavy_join
+from keysift.operators.chunks import CHUNK_CHARS, chunk_contents, chunk_units
+from keysift.operators.joins import may_match
 from keysift.operators.prompts import ModelOptions, cache_key, prompt
 from keysift.operators.rules import RuleSet
 from keysift.session import cut_lineage
 
 Client = Callable[[str], str]
+ClientFactory = Callable[[ModelOptions], Client]
 ROWS_PER_YIELD = 64
 
 
@@ -30,36 +32,45 @@ def keyed_chunks(units: DataFrame, rules: RuleSet, model: ModelOptions,
     return chunk_units(units, size).withColumn("cache_key", cache_key(F.col("content"), rules, model))
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """``cache_key, content, copies``: each content once.
+def keyed_contents(units: DataFrame, rules: RuleSet, model: ModelOptions, size: int = CHUNK_CHARS) -> DataFrame:
+    """``cache_key, content`` of every chunk, without where it stands."""
+    return chunk_contents(units, size).withColumn("cache_key", cache_key(F.col("content"), rules, model))
 
-    Copies combine before the shuffle, so a text repeated everywhere moves once per
-    task. The content is a grouping column because a hash aggregate can hold strings
-    as keys but not as values.
-    """
-    return chunks.groupBy("cache_key", "content").agg(F.count("*").alias("copies"))
+
+def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """``cache_key, copies``: each content once, by its key; the contents stay where they are."""
+    return chunks.groupBy("cache_key").agg(F.count("*").alias("copies"))
 
 
 def not_cached(distinct: DataFrame, cache: DataFrame) -> DataFrame:
-    """The contents no answer is known for yet."""
+    """The keys no answer is known for yet."""
     return distinct.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
+def contents_of(distinct: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``cache_key, content, copies`` of the keys in ``distinct``.
+
+    Contents of other keys are dropped where they are read, and copies combine before the
+    shuffle, so a text repeated everywhere moves once per task.
+    """
+    return may_match(chunks, distinct, ["cache_key"]).select("cache_key", "content").distinct().join(distinct, "cache_key")
+
+
 def prompts_for(distinct: DataFrame, rules: RuleSet) -> DataFrame:
     """``cache_key, copies, prompt``: what to ask, here or in a batch job elsewhere."""
     return distinct.select("cache_key", "copies", prompt(F.col("content"), rules).alias("prompt"))
 
 
-def ask(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client],
-        tasks: int | None = None) -> DataFrame:
-    """``cache_key, copies, response, error``: a client's answer per content.
+def ask(distinct: DataFrame, rules: RuleSet, client_factory: ClientFactory,
+        model: ModelOptions = ModelOptions(), tasks: int | None = None) -> DataFrame:
+    """``cache_key, copies, response, error``: a client's answer per content (``contents_of``).
 
     A call that raises counts as an empty answer; its message goes to ``error``. The
     calls are split over ``tasks`` tasks (default: the session's shuffle partitions,
     one per core at least); more and shorter tasks lose less when an executor dies.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
+        client = client_factory(model)
 
         def call(text: str) -> tuple[str, str | None]:
             try:
@@ -93,16 +104,19 @@ def known_answers(distinct: DataFrame, cache: DataFrame) -> DataFrame:
         "error", F.lit(None).cast("string"))
 
 
-def answers_for(distinct: DataFrame, rules: RuleSet, client_factory: Callable[[], Client] | None,
-                cache: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
-    """``cache_key, copies, response, error`` for every distinct content: from the
-    cache where it has the key, else from a client; without a client, from the cache
-    only. Materialised, since a call is costly and may answer differently next time."""
+def answers_for(chunks: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
+                cache: DataFrame | None = None, model: ModelOptions = ModelOptions(),
+                tasks: int | None = None) -> DataFrame:
+    """``cache_key, copies, response, error`` for every distinct content of ``chunks`` (with
+    ``cache_key`` and ``content``): from the cache where it has the key, else from a client; without
+    a client, from the cache only. Keys alone decide which is which; the contents that are asked
+    about are fetched then. Materialised, since a call is costly and may answer differently next time."""
+    distinct = distinct_chunks(chunks)
     if client_factory is None:
         return cut_lineage(known_answers(distinct, cache))
     if cache is None:
-        return cut_lineage(ask(distinct, rules, client_factory, tasks))
-    asked = ask(not_cached(distinct, cache), rules, client_factory, tasks)
+        return cut_lineage(ask(contents_of(distinct, chunks), rules, client_factory, model, tasks))
+    asked = ask(contents_of(not_cached(distinct, cache), chunks), rules, client_factory, model, tasks)
     return cut_lineage(asked.unionByName(known_answers(distinct, cache)))
 
 
@@ -110,23 +124,44 @@ def attach_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """Chunks with the parsed ``answer`` of their content, if it names a secret.
 
     Answers are parsed once per content and those without a secret dropped first, so
-    neither content nor clean chunks take part in the join.
+    neither content nor clean chunks take part in the join. A content that very many chunks
+    share is split by Spark's skew join.
     """
     found = (answers.select("cache_key", parse_answer(F.col("response")).alias("answer"))
              .where(F.size("answer") > 0))
-    weights = answers.select("cache_key", "copies")
-    return heavy_join(chunks.drop("content"), found, ["cache_key"],
-                      spread=["repository", "commit_hash", "file_path", "chunk_no"],
-                      weigh=weights, weight="copies")
+    return chunks.drop("content").join(found, "cache_key")
+
 
+@dataclass(frozen=True)
+class ModelRun:
+    """What a model said about some units: ``findings`` (raw, like the regex ones), the ``answers`` they
+    come from, and ``failures``, the chunks by repository whose call failed: nothing is known of those."""
 
-def model_findings(units: DataFrame, rules: RuleSet, client_factory: Callable[[], Client] | None,
+    findings: DataFrame
+    answers: DataFrame
+    failures: DataFrame
+
+
+def failed_chunks(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """``repository, failed_chunks, error`` (one of the messages), for repositories with any."""
+    failed = answers.where(F.col("error").isNotNull()).select("cache_key", "error")
+    return chunks.select("repository", "cache_key").join(failed, "cache_key").groupBy("repository").agg(
+        F.count("*").alias("failed_chunks"), F.min("error").alias("error"))
+
+
+def model_run(units: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
+              model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
+              size: int = CHUNK_CHARS, tasks: int | None = None) -> ModelRun:
+    chunks = keyed_chunks(units, rules, model, size)
+    answers = answers_for(keyed_contents(units, rules, model, size), rules, client_factory, cache, model, tasks)
+    return ModelRun(answer_findings(attach_answers(chunks, answers)), answers, failed_chunks(chunks, answers))
+
+
+def model_findings(units: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
                    model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
                    size: int = CHUNK_CHARS, tasks: int | None = None) -> DataFrame:
     """The model's findings in ``units`` (raw, like the regex ones)."""
-    chunks = keyed_chunks(units, rules, model, size)
-    answers = answers_for(distinct_chunks(chunks), rules, client_factory, cache, tasks)
-    return answer_findings(attach_answers(chunks, answers))
+    return model_run(units, rules, client_factory, model, cache, size, tasks).findings
 
 
 def extend_cache(answers: DataFrame, path: str) -> None:

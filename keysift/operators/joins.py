@@ -1,47 +1,29 @@
-"""Equi-joins that stay balanced when a key holds a large share of the rows."""
+"""Row filters by a set of keys of bounded size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROWS_PER_TASK = 1_000_000
-MAX_HEAVY = 1_000
+#: Bits of the key set, in bitmaps of 2^15: at most 2^25 bits, 4 MB, whatever the number of keys.
+BITS = 1 << 25
 
 
-def heavy_keys(df: DataFrame, on: list[str], rows_per_task: int = ROWS_PER_TASK,
-               weight: str | None = None) -> list:
-    """The most frequent keys with more than ``rows_per_task`` rows, as (key..., salts).
-
-    At most MAX_HEAVY; by rank, a key left out holds less than a MAX_HEAVYth of all
-    rows. Reads the key columns only and counts before the shuffle. ``weight`` names
-    a column that counts rows already.
-    """
-    rows = F.count("*") if weight is None else F.sum(weight)
-    return (df.dropna(subset=on).groupBy(*on).agg(rows.alias("_rows")).where(F.col("_rows") > rows_per_task)
-            .orderBy(F.desc("_rows")).limit(MAX_HEAVY)
-            .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")).collect())
+def _place(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BITS)) + 1
 
 
-def heavy_join(big: DataFrame, small: DataFrame, on: list[str], spread: list[str],
-               how: str = "inner", rows_per_task: int = ROWS_PER_TASK,
-               weigh: DataFrame | None = None, weight: str | None = None) -> DataFrame:
-    """``big`` joined with ``small`` on ``on`` (inner or left).
+def may_match(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``big`` whose key may be in ``keys``: all that are, and of the others one in
+    BITS for each key there.
 
-    Rows of a heavy key go to as many tasks as they need, chosen by ``spread``, and
-    the few matching rows of ``small`` are repeated for each. Without heavy keys it
-    is a plain join, which Spark turns into a broadcast join if it measures ``small``
-    to be small. ``weigh`` (with ``weight``) is a cheaper source of the keys of ``big``.
+    The keys' hashes are set in bitmaps, which are broadcast (their size is bounded by BITS), so rows
+    that a later join would drop are dropped where they are read, and not shuffled.
     """
-    heavy = heavy_keys(big if weigh is None else weigh, on, rows_per_task, weight)
-    if not heavy:
-        return big.join(small, on, how)
-    schema = big.select(*on).schema.add("_salts", T.IntegerType())
-    table = F.broadcast(big.sparkSession.createDataFrame(heavy, schema))
-    salts = F.coalesce("_salts", F.lit(1))
-    left = (big.join(table, on, "left")
-            .withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts"))
-    right = (small.join(table, on, "left")
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    bitmaps = keys.select(_place(*on).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position(_place(*on))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (big.withColumn("_bucket", F.bitmap_bucket_number(_place(*on)))
+            .join(F.broadcast(bitmaps), "_bucket")
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*big.columns))

@@ -39,8 +39,8 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
 
     A rule's regex runs only over texts that hold its anchors; finding a literal takes
     a tenth of a regex pass, and the first anchors of all rules are looked up once. The
-    rules are literals of one array, so each regex is compiled once per task and a unit
-    is never copied per rule. The array stays inside the explode: above it, the
+    rules are literals of one array, so each regex is compiled once per task, and a unit
+    is copied for the rules that match it only. The array stays inside the explode: above it, the
     optimizer would run the regexes twice, and a generated method for all rules would
     be too long for the JVM to compile.
     """
@@ -66,8 +66,13 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
                 gate = gate & t.rlike(rule.probe)
             matches = F.when(gate, matches)
         per_rule.append(matches)
+    in_order = rules.ords == tuple(range(len(rules)))
+
+    def number(i: Column) -> Column:
+        return i if in_order else F.element_at(F.array(*map(F.lit, rules.ords)), i + 1)
+
     hits = F.filter(
-        F.transform(F.array(*per_rule), lambda m, i: F.struct(i.alias("rule_ord"), m.alias("matches"))),
+        F.transform(F.array(*per_rule), lambda m, i: F.struct(number(i).alias("rule_ord"), m.alias("matches"))),
         lambda h: F.size(h["matches"]) > 0)
     if all(rule.anchors for _, rule in scannable):
         hits = F.when(reduce(lambda a, b: a | b, [F.col(name) for name, _ in first.values()]), hits)
@@ -101,6 +106,17 @@ def count_by_rule(units: DataFrame, rules: RuleSet, text: str = "text") -> DataF
             .select("rule", "hits"))
 
 
+def type_counts(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
+    """``repository, finding_type, findings``: the matches of each rule, counted without
+    their lines or values."""
+    names = rules.to_df(units.sparkSession).select("rule_ord", F.col("name").alias("finding_type"))
+    return (find_matches(units.select("repository", text), rules, text)
+            .select("repository", "rule_ord", F.size(F.array_remove("matches", "")).cast("long").alias("n"))
+            .groupBy("repository", "rule_ord").agg(F.sum("n").alias("n")).where("n > 0")
+            .join(F.broadcast(names), "rule_ord")
+            .groupBy("repository", "finding_type").agg(F.sum("n").alias("findings")))
+
+
 def locate_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """One row per match with its rule's columns, ``line_number`` (the file line it
     starts on) and ``keyword_hit`` (a rule keyword on one of its lines)."""

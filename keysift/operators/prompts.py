@@ -45,17 +45,21 @@ class ModelOptions:
         return json.dumps(self.options, sort_keys=True)
 
 
-def clamp_content(content: Column) -> Column:
+def double_braces(content: Column) -> Column:
+    return F.replace(F.replace(content, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+
+
+def clamp_content(content: Column, limit: int = CONTENT_CHARS) -> Column:
     """The content's head with doubled braces, cut to the limit again: doubling may
-    push text out, and the cut may halve a pair."""
-    cut = F.substring(content, 1, CONTENT_CHARS)
-    doubled = F.replace(F.replace(cut, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
-    return F.substring(doubled, 1, CONTENT_CHARS)
+    push text out, and the cut may halve a pair. It drops text, so nothing in a scan uses it:
+    there, chunks are cut so that they fit."""
+    return F.substring(double_braces(F.substring(content, 1, limit)), 1, limit)
 
 
 def prompt(content: Column, rules: RuleSet) -> Column:
+    """The whole content in a prompt; ``clamp_content`` or chunks keep it within a model's limit."""
     return F.concat(F.lit(BEFORE_RULES + rules.describe() + BEFORE_CONTENT),
-                    clamp_content(content), F.lit(AFTER_CONTENT))
+                    double_braces(content), F.lit(AFTER_CONTENT))
 
 
 def cache_key(content: Column, rules: RuleSet, model: ModelOptions) -> Column:

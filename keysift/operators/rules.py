@@ -121,6 +121,7 @@ ANCHORS = {
 # A cheaper regex that any match contains, tried after the anchors.
 PROBES = {"npm_token": r"-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-"}
 
+#: Rules a set may hold: they become literals of one expression, and a lookup table that is broadcast.
 MAX_RULES = 10_000
 
 
@@ -153,13 +154,24 @@ class Rule:
 
 
 class RuleSet:
-    """An immutable, ordered set of rules. Names may repeat; ``rule_ord`` is the key."""
+    """An immutable, ordered set of rules. Names may repeat; ``rule_ord`` is the key: a rule's
+    place, or the number that its table gives it.
 
-    def __init__(self, rules: tuple[Rule, ...] | list[Rule]):
+    More than ``most`` rules are refused, and so are, while a session runs, regexes that Java does not know.
+    """
+
+    def __init__(self, rules: tuple[Rule, ...] | list[Rule], ords: list[int] | None = None, most: int = MAX_RULES):
         for rule in rules:
             if not isinstance(rule, Rule):
                 raise TypeError(f"expected a Rule, got {type(rule).__name__}")
+        if len(rules) > most:
+            raise ValueError(f"a rule set holds at most {most} rules")
         self._rules = tuple(rules)
+        self.ords = tuple(range(len(rules)) if ords is None else ords)
+        if len(set(self.ords)) != len(self._rules):
+            raise ValueError("each rule needs a rule_ord of its own")
+        self.most = most
+        _check_regexes(self._rules)
 
     def __iter__(self) -> Iterator[Rule]:
         return iter(self._rules)
@@ -174,11 +186,11 @@ class RuleSet:
         """A new set with ``rule`` last."""
         if not isinstance(rule, Rule):
             raise TypeError(f"expected a Rule, got {type(rule).__name__}")
-        return RuleSet((*self._rules, rule))
+        return RuleSet((*self._rules, rule), [*self.ords, max(self.ords, default=-1) + 1], self.most)
 
     def scannable(self) -> list[tuple[int, Rule]]:
         """(rule_ord, rule) of the rules that have a regex."""
-        return [(i, rule) for i, rule in enumerate(self._rules) if rule.regex]
+        return [(i, rule) for i, rule in zip(self.ords, self._rules) if rule.regex]
 
     def describe(self) -> str:
         """One ``- name: description`` line per rule, in order."""
@@ -191,7 +203,7 @@ class RuleSet:
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [
             (i, r.name, r.regex, list(r.keywords), r.description, r.confidence_boost)
-            for i, r in enumerate(self._rules)
+            for i, r in zip(self.ords, self._rules)
         ]
         return spark.createDataFrame(rows, schemas.RULES)
 
@@ -200,24 +212,40 @@ class RuleSet:
         return self.to_df(spark).withColumn("regex", java_dialect(F.col("regex")))
 
     @staticmethod
-    def from_df(df: DataFrame) -> RuleSet:
-        """Rules from a table with the rules schema, ordered by ``rule_ord``.
+    def from_df(df: DataFrame, most: int = MAX_RULES) -> RuleSet:
+        """Rules from a table with the rules schema, ordered by ``rule_ord``, which they keep.
 
-        Raises TypeError when a column is missing or of another type.
+        Null keywords are none, a null description is empty, a null boost is zero. Raises TypeError when
+        a column is missing or of another type, ValueError for a null name or number, or too many rules.
         """
         have = {f.name: f.dataType for f in df.schema.fields}
         for field in schemas.RULES.fields:
             got = have.get(field.name)
             if got is None or got.typeName() != field.dataType.typeName():
                 raise TypeError(f"rules column {field.name}: expected {field.dataType}, got {got}")
-        rows = df.select(*schemas.RULES.names).orderBy("rule_ord").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"a rule set holds at most {MAX_RULES} rules")
+        rows = df.select(*schemas.RULES.names).orderBy("rule_ord").limit(most + 1).collect()
+        if any(r.name is None or r.rule_ord is None for r in rows):
+            raise ValueError("a rule needs a name and a rule_ord")
         return RuleSet([
-            Rule(r.name, r.regex, tuple(r.keywords), r.description, r.confidence_boost,
-                 *_hints(r.name, r.regex))
+            Rule(r.name, r.regex, tuple(k for k in r.keywords or () if k is not None), r.description or "",
+                 r.confidence_boost or Decimal("0.0"), *_hints(r.name, r.regex))
             for r in rows
-        ])
+        ], [r.rule_ord for r in rows], most)
+
+
+def _check_regexes(rules: tuple[Rule, ...]) -> None:
+    """Raises ValueError for a regex that Spark can't compile; built-in ones are known to be right."""
+    spark = SparkSession.getActiveSession()
+    for rule in rules if spark else ():
+        if rule.regex and not rule.anchors and rule.regex not in _COMPILED:
+            try:
+                spark.range(1).select(F.regexp_like(F.lit(""), F.lit(rule.java_regex))).collect()
+            except Exception as e:
+                raise ValueError(f"rule {rule.name}: {rule.regex!r} is no regex that Spark knows") from e
+            _COMPILED.add(rule.regex)
+
+
+_COMPILED: set[str] = set()
 
 
 def java_dialect(regex: Column) -> Column:

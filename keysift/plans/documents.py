@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# repository, block of the document, commit, part of the commit, item
-ORDER = ["repository", "block", "commit_rank", "commit_hash", "part",
+# repository, block of the document, report it comes from, commit, part of the commit, item
+ORDER = ["repository", "block", "report", "commit_rank", "commit_hash", "part",
          "file_path", "line_number", "finding_type", "secret_sha256"]
 ITEM = ["file_path", "line_number", "finding_type", "secret_sha256"]
 TYPES = {"block": "int", "commit_rank": "int", "part": "int", "line_number": "int"}

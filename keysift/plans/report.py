@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysift import schemas
@@ -47,9 +48,47 @@ def report_document(findings: DataFrame, window: DataFrame | None = None) -> Dat
 
 def flatten_reports(reports: DataFrame) -> DataFrame:
     """Findings of parsed reports (schema REPORT), one row each, in report order:
-    ``repository, commit_ord, commit_hash, finding_ord`` and the finding's fields."""
-    return (reports.select(F.col("scan_info.repository").alias("repository"),
+    ``repository, report, commit_ord, commit_hash, finding_ord`` and the finding's fields. ``report``
+    tells reports of one repository apart: the file (``report_path``), or else a hash of the content."""
+    content = F.sha2(F.to_json(F.struct(*schemas.REPORT.names)), 256)
+    name = F.coalesce("report_path", content) if "report_path" in reports.columns else content
+    return (reports.select(F.col("scan_info.repository").alias("repository"), name.alias("report"),
                            F.posexplode("findings_by_commit").alias("commit_ord", "commit_hash", "_findings"))
-            .select("repository", "commit_ord", "commit_hash",
+            .select("repository", "report", "commit_ord", "commit_hash",
                     F.posexplode("_findings").alias("finding_ord", "_f"))
-            .select("repository", "commit_ord", "commit_hash", "finding_ord", "_f.*"))
+            .select("repository", "report", "commit_ord", "commit_hash", "finding_ord", "_f.*"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The reports that ``write_documents`` put at ``path``, flattened as ``flatten_reports`` does, with
+    ``finding_ord`` counting over the whole report.
+
+    Part files are read by themselves: a line is a finding, or opens a commit, or neither. What
+    leads across files is a row for each: how many commits it opens, and the last one.
+    """
+    files = spark.read.schema("value string, repository string").option("wholetext", True).format("text").load(path).select(
+        F.col("repository").alias("_folder"), F.col("_metadata.file_name").alias("_file"),
+        F.split("value", "\n").alias("_lines"))
+    lines = files.select("_folder", "_file", F.posexplode("_lines").alias("_at", "_line"))
+    key = F.regexp_extract("_line", r'^,?("(?:[^"\\]|\\.)*"):\[$', 1)
+    here = W.partitionBy("_folder", "_file").orderBy("_at")
+    told = lines.withColumn("_key", F.when(key != "", key)).where(
+        F.col("_key").isNotNull() | F.col("_line").rlike(r"^,?\{") & ~F.col("_line").startswith('{"scan_info":'))
+    told = told.withColumns({
+        "_commit": F.last("_key", ignorenulls=True).over(here), "_opened": F.count("_key").over(here)})
+    per_file = told.groupBy("_folder", "_file").agg(
+        F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("_at"))).alias("_last"),
+        F.count("_key").alias("_commits"), F.max("_at").alias("_size"))
+    before = W.partitionBy("_folder").orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    carried = per_file.select(
+        "_folder", "_file", F.last("_last", ignorenulls=True).over(before).alias("_last"),
+        F.coalesce(F.sum("_commits").over(before), F.lit(0)).alias("_commits"),
+        F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0)).alias("_start"))
+    found = told.where("_key is null").join(carried, ["_folder", "_file"])
+    name = F.get(F.from_json(F.concat(F.lit("["), F.coalesce("_commit", "_last"), F.lit("]")), "array<string>"), F.lit(0))
+    item = F.from_json(F.ltrim(F.col("_line"), F.lit(",")), schemas.REPORT_FINDING, {"mode": "FAILFAST"})
+    return found.select(
+        F.col("_folder").alias("repository"), F.concat(F.lit(path), F.lit("/"), F.col("_folder")).alias("report"),
+        (F.col("_commits") + F.col("_opened") - 1).cast("int").alias("commit_ord"), name.alias("commit_hash"),
+        (F.col("_start") + F.col("_at")).cast("int").alias("finding_ord"), item.alias("_f")).select(
+        "repository", "report", "commit_ord", "commit_hash", "finding_ord", "_f.*")

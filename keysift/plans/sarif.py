@@ -15,6 +15,7 @@ from keysift.plans import documents as doc
 # Fixed values of the log.
 SCHEMA_URL = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 SARIF_VERSION = "2.1.0"
+RULE_SHORT, RULE_FULL = "Detects {}", "This rule identifies potential {} in the codebase."
 RULE_HELP = "Remove hardcoded secrets and use environment variables or secret management services."
 RULE_LEVEL = "error"
 RULE_TAGS = ["security", "secrets"]
@@ -52,12 +53,16 @@ def fill_defaults(findings: DataFrame) -> DataFrame:
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """``repository, id, rule``: one rule object per distinct finding type."""
     words = F.replace(F.col("id"), F.lit("_"), F.lit(" "))
+
+    def around(template: str) -> Column:
+        before, after = template.split("{}")
+        return F.concat(F.lit(before), words, F.lit(after))
+
     rule = F.struct(
         F.col("id").alias("id"),
         title_case(words).alias("name"),
-        _text(F.concat(F.lit("Detects "), words)).alias("shortDescription"),
-        _text(F.concat(F.lit("This rule identifies potential "), words, F.lit(" in the codebase.")))
-        .alias("fullDescription"),
+        _text(around(RULE_SHORT)).alias("shortDescription"),
+        _text(around(RULE_FULL)).alias("fullDescription"),
         _text(F.lit(RULE_HELP)).alias("help"),
         F.struct(F.lit(RULE_LEVEL).alias("level")).alias("defaultConfiguration"),
         F.struct(F.array(*map(F.lit, RULE_TAGS)).alias("tags"),
@@ -88,14 +93,15 @@ def sarif_document(findings: DataFrame, tool: Tool = Tool(), window: DataFrame |
     commit ``window``, also of those without findings.
 
     ``findings`` is a de-duplicated scan, or the rows of ``flatten_reports``, which
-    keep their report's order whatever they hold.
+    keep their report's order whatever they hold. Several reports of one repository follow each
+    other by ``report``; one that is there twice counts once.
     """
     ordered = findings
     if "commit_ord" in findings.columns:
         # the report's order takes the place of the scan's
-        ordered = (findings.withColumn("commit_rank", F.col("commit_ord"))
+        order = ["report", "commit_ord", "finding_ord"]
+        ordered = (findings.dropDuplicates(["repository", *order]).withColumn("commit_rank", F.col("commit_ord"))
                    .withColumn("secret_sha256", F.lit(None).cast("string")))
-        order = ["commit_ord", "finding_ord"]
     else:
         order = ["commit_rank", "commit_hash", *doc.ITEM]
     repo = F.col("repository")
@@ -109,7 +115,7 @@ def sarif_document(findings: DataFrame, tool: Tool = Tool(), window: DataFrame |
     repositories = repositories.distinct()
     rules = doc.mark_first(sarif_rules(findings), ["repository"], ["id"])
     results = doc.mark_first(sarif_results(ordered), ["repository"], order)
-    in_order = ({"commit_rank": F.col("commit_ord"), "line_number": F.col("finding_ord")}
+    in_order = ({"report": F.col("report"), "commit_rank": F.col("commit_ord"), "line_number": F.col("finding_ord")}
                 if "commit_ord" in findings.columns else
                 {c: F.col(c) for c in ["commit_rank", "commit_hash", *doc.ITEM]})
     return doc.union(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from keysift import schemas
 from keysift.operators.diff import date_string
-from keysift.operators.joins import heavy_join
 from keysift.operators.rules import RuleSet
 
 
@@ -44,17 +43,19 @@ def type_counts(findings: DataFrame) -> DataFrame:
 
 
 def uncommitted(findings: DataFrame) -> DataFrame:
-    """Findings in working-tree changes."""
-    return findings.where("is_uncommitted")
+    """Findings in working-tree changes. The filter is on a key of the de-duplication, so it is
+    applied before that, where the units are read."""
+    return findings.where(F.col("commit_hash") == schemas.UNCOMMITTED)
 
 
 def with_commit_details(findings: DataFrame, commits: DataFrame) -> DataFrame:
-    """Author and date of each finding's commit; null for uncommitted ones."""
+    """Author and date of each finding's commit; null for uncommitted ones. A commit with very
+    many findings is split by Spark's skew join."""
     details = commits.select("repository", "commit_hash", "author",
                              date_string(F.col("commit_date")).alias("date"))
-    return heavy_join(findings.drop("author", "date"), details, ["repository", "commit_hash"],
-                      spread=["file_path", "line_number", "secret_sha256"], how="left"
-                      ).select(*findings.columns)
+    once = details.groupBy("repository", "commit_hash").agg(F.min(F.struct("author", "date")).alias("_d"))
+    once = once.select("repository", "commit_hash", "_d.author", "_d.date")
+    return findings.drop("author", "date").join(once, ["repository", "commit_hash"], "left").select(*findings.columns)
 
 
 def with_rules(findings: DataFrame, rules: RuleSet) -> DataFrame:

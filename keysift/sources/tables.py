@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keysift import schemas
@@ -32,25 +33,15 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """JSON reports, one row per file. A broken file raises."""
+    """JSON reports, one row per file, with the file's ``report_path``. A broken file raises.
+
+    A file is one row, however large; reports that ``write_documents`` made are read by
+    ``plans.report.read_documents``, which splits them."""
     return (spark.read.schema(schemas.REPORT).option("multiLine", True)
-            .option("mode", "FAILFAST").json(path))
+            .option("mode", "FAILFAST").json(path).withColumn("report_path", F.col("_metadata.file_path")))
 
 
 def write_findings(findings: DataFrame, path: str) -> DataFrame:
     """Saves the findings and reads them back: a scan runs once, reports run from here."""
     findings.write.mode("errorifexists").parquet(path)
     return findings.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a small input over all cores by ``keys``, which should be near unique.
-
-    A scan has one task per row group, so a small table in one file runs on one core.
-    Anything with a full split per core is left as it is: a large table is not shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 4, *keys) if size < cores * split else df

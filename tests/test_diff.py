@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keysift import schemas
 from keysift.operators import diff, history
-from keysift.operators.joins import heavy_join, heavy_keys
+from keysift.operators.joins import may_match
 from keysift.plans.scan import scan
 
 
@@ -23,6 +23,9 @@ CASES = {
     "deleted": (patch("--- a/n", "+++ /dev/null", "@@ -1,2 +0,0 @@", "-password=12345678", "-y"), []),
     "header_like_text": (patch("@@ -1,2 +1,3 @@", " a", "+@@ -9 +9 @@", " b"), [(1, 2, "@@ -9 +9 @@")]),
     "carriage_return": (patch("@@ -1 +5,2 @@", "+a\r", "+b @@ -1 +1 @@"), [(1, 5, "a\r"), (1, 6, "b @@ -1 +1 @@")]),
+    "merge": (patch("diff --cc x", "@@@ -1,2 -1,3 +1,4 @@@ f", "  both", "- mine", " -theirs", "++new", " +of one", "+ of two",
+                    "--gone", "  end", "@@@@ -9 -9 -9 +20,2 @@@@", "+++all", "   kept", " + some"),
+              [(1, 2, "new"), (1, 3, "of one"), (1, 4, "of two"), (2, 20, "all"), (2, 22, "some")]),
     "no_hunk": ("Binary files differ", []),
 }
 
@@ -54,7 +57,6 @@ def commits(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 10, 1500])
 def test_last_n(commits, n):
-    """1500 takes the way in parts; the result is the same kind."""
     df = commits(2000).unionByName(commits(3, "s"))
     got = history.last_n(df, n).orderBy("repository", "commit_rank").collect()
     want = [("r", f"r{1999 - i:06d}", i + 1) for i in range(n)] + [("s", f"s{2 - i:06d}", i + 1) for i in range(min(n, 3))]
@@ -88,18 +90,57 @@ def test_scan(spark, commits, patches):
     assert scan(history_, df, n=2, redaction=False).where(F.col("snippet") == secret).count() == 4
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_heavy_join_is_a_join(spark, how):
-    """Half of all rows on one key, null keys, keys on one side only."""
-    big = spark.range(3000).select(
-        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 50).cast("int").alias("k"),
-        F.col("id").alias("v"))
-    small = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 3).alias("w"))
-    keys = heavy_keys(big, ["k"], 100)
-    assert (7, 16) in [tuple(r) for r in keys] and len(keys) == 1
-    got = heavy_join(big, small, ["k"], ["v"], how, rows_per_task=100)
-    want = big.join(small, "k", how)
-    assert got.columns == want.columns
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    plan = got._jdf.queryExecution().toString()
-    assert "_salt" in plan
+def test_a_commit_counts_once(commits):
+    df = commits(5)
+    got = history.last_n(df.unionByName(df.limit(2)).unionByName(df), 4).orderBy("commit_rank").collect()
+    assert [(r.commit_hash, r.commit_rank) for r in got] == [(f"r{4 - i:06d}", i + 1) for i in range(4)]
+
+
+def test_patches_of_no_origin_are_committed(commits, patches):
+    df = patches(("r000001", "commit", "a", patch("@@ -1 +1 @@", "+password = hunter2hunter2")))
+    df = df.withColumn("origin", F.lit(None).cast("string"))
+    assert [r.commit_rank for r in scan(commits(3), df).collect()] == [2]
+    assert diff.diff_lines(df).count() == 1
+
+
+def test_may_match(spark):
+    """No row with a key is dropped, and hardly any other is kept."""
+    keys = spark.range(0, 5000, 7).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s"))
+    big = spark.range(20_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s"), F.lit("x").alias("text"))
+    got = may_match(big, keys, ["k", "s"])
+    assert got.columns == big.columns
+    assert got.join(keys, ["k", "s"]).count() == keys.count() and got.count() <= keys.count() + 20
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_patches_are_not_shuffled(spark, commits, patches):
+    """Without automatic broadcasts, patches meet the key set before any exchange."""
+    df = patches(*[(f"r{i:06d}", "commit", f"f{i}", "x") for i in range(50)])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tracker = spark.sparkContext.statusTracker()
+        before = len(tracker.getJobIdsForGroup(None))
+        found = diff.windowed_patches(df, history.last_n(commits(50), 3))
+        assert len(tracker.getJobIdsForGroup(None)) == before  # nothing runs while it is built
+        lines = plan_of(found.select("patch")).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scan_at = next(i for i, x in enumerate(lines) if "patch#" in x and "Scan" in x)
+    above = [x for x in lines[:scan_at] if "Exchange hashpartitioning" in x or "BroadcastHashJoin" in x]
+    assert "BroadcastHashJoin" in above[-1] and any("SortMergeJoin" in x for x in lines)
+
+
+def test_filters_and_columns_reach_the_scan(spark, commits, patches):
+    from keysift.operators import match
+    from keysift.operators.rules import default_rules
+    from keysift.plans import summary
+    df = patches(("r000001", "commit", "a", "x"), ("HEAD", "untracked", "b", "y"))
+    plan = plan_of(summary.uncommitted(scan(commits(3), df, redaction=False)))
+    aggregate = plan.index("HashAggregate") if "HashAggregate" in plan else plan.index("Aggregate")
+    assert "commit_hash" in plan[aggregate:] and "Filter (is_uncommitted" not in plan[:aggregate]
+    units = diff.text_units(spark.range(2).withColumn("t", F.lit("x")), F.lit("r"), F.col("id"), F.col("t"))
+    assert "regexp_replace" not in plan_of(match.type_counts(units, default_rules()))

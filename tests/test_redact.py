@@ -63,6 +63,15 @@ def test_rationale_does_not_repeat_the_secret(spark):
     assert df.select(redact_text(F.col("why"), F.col("s"), RULES)).first()[0] == "The pin hunt... is in the code"
 
 
+def test_labels_of_model_snippets(spark):
+    """Free text before a colon is kept only if it is a word that rules know."""
+    from keysift.functions.redact import redact_model
+    snippets = ["hunter2secretpw: admin password", "Tr0ub4dor_and_3: prod root", "API_KEY = abcdefgh", '"db.password": "x1y2z3"', "plain words"]
+    df = spark.createDataFrame(list(enumerate(snippets)), "i int, s string")
+    assert [r[0] for r in df.orderBy("i").select(redact_model(F.col("s"), RULES)).collect()] == [
+        "hunt...", "Tr0u...", "API_KEY = ...", '"db.password": "...', "plai..."]
+
+
 def test_switch_and_hash(spark, units):
     raw = dedup_findings(regex_findings(units(POSITIVE["aws_access_key"]), RULES))
     hidden = redact_findings(raw, RULES)

@@ -4,8 +4,8 @@ from keysift import schemas
 from keysift.functions.levels import score
 from keysift.operators.rules import default_rules
 from keysift.session import shared_dir
-from keysift.sources.tables import read_commits, read_patches, read_responses, spread
-from keysift.streaming.scan import stream_findings, write_stream
+from keysift.sources.tables import read_commits, read_patches, read_responses
+from keysift.streaming.scan import stream_findings, stream_table, write_stream
 from tests.test_rules import POSITIVE
 
 RULES = default_rules()
@@ -24,18 +24,6 @@ def test_readers(spark, tmp_path, fmt):
     assert read_responses(spark, str(tmp_path / "responses"), fmt).collect() == responses.collect()
 
 
-def test_spread_leaves_large_inputs_alone(spark, monkeypatch):
-    df = spark.range(1000)
-    small = spread(df, "id")
-    assert small.count() == 1000 and "REPARTITION_BY_NUM" in small._jdf.queryExecution().toString()
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1b")
-    try:
-        assert spread(df, "id") is df
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -54,6 +42,8 @@ def test_stream(spark, units, tmp_path):
     assert run().count() == 2  # nothing new
     units(POSITIVE["stripe_key"], repository="s").write.mode("append").parquet(source)
     assert {r.snippet for r in run().collect()} == {"AKIA...", "0123...", "sk_l..."}
+    units(*texts).write.mode("append").parquet(source)
+    assert run().count() == 5 and stream_table(spark, out).count() == 3  # found again in another batch
 
 
 def test_stream_drops_repeats_in_time(spark, units, tmp_path):
