@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from keysift.session import shared_dir
+
 #: ASCII white space that separates words: [\x20\x09-\x0D], what bytes.split() splits at.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one round of array work takes.
@@ -20,11 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder's path inside ``spark.checkpoint.dir``, which all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder's path inside ``spark.checkpoint.dir``, which all executors share (in a local session
+    without that setting, inside a folder of its own)."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
