@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
         *(F.max(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in categories))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = cut(texts.join(chosen.withColumnRenamed(id_col, "id"), "id").mapInArrow(
+    # at most ``sample`` rows of an id and the labels are sent to every task; the texts are not shuffled
+    rows = cut(texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").mapInArrow(
         _distinct_words, _words_schema(len(categories))), "labelled")
     total = rows.agg(F.count("*").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories)))).first()
     if not total["n"]:
