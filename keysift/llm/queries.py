@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.llm import bpe, embedding_dedup, licenses, minhash, packing, quality, suffix_dedup, superkmer, toxicity, warc
-from keysift.llm.common import scratch, table
+from keysift.llm.common import cut, scratch, table
 
 #: Label columns in the order of the chain: a document of low quality is hardly ever labelled toxic.
 CATEGORIES = ["quality", "toxic"]
@@ -46,11 +46,13 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "warc")
     captures = warc.write(table(spark, sf, "pages"), folder)
     warc.build_index(captures, folder)
-    records = warc.look_up(spark, folder, captures, payloads=False)
-    responses = records.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).distinct()
-    return records.join(responses, "refers_to_record", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = cut(warc.look_up(spark, folder, captures, payloads=False), "records")  # the archives are read once
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = records.where("record_type = 'response'")
+    pages = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).distinct()
+    revisits = records.where("record_type = 'revisit'").join(pages, "refers_to_record", "left")
+    return responses.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.select(*columns, "refers_to"))
 
 
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
