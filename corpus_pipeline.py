@@ -44,8 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = cut(minhash.classes(docs), "classes")
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # ids should be unique; where one is not, its rows are gathered, others stay as they are
+    # ids should be unique; where one is not, its rows are gathered. Without any, the texts are not read again.
     again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
     once = left.join(again, "doc_id", "left_semi").select(*docs.columns).groupBy("doc_id").agg(
         F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("row")).select("row.*")
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
