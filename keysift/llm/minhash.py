@@ -35,7 +35,7 @@ COORDINATES = 32
 MATCHES = 18
 SIMILAR = 85  # percent
 #: Sets of a list, or of a group of candidates, that one block holds.
-LIST_BLOCK, SET_BLOCK = 1024, 512
+LIST_BLOCK, SET_BLOCK = 512, 512
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
