@@ -34,6 +34,8 @@ WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: Words a task keeps at most, beyond which it gathers anew, and places for known arcs.
 KEPT_WORDS = 500_000
 ARC_BITS = 20
+#: Bytes of text whose new words are encoded together.
+TEXT_BYTES = 1 << 20
 #: Bytes from which a word is encoded by itself.
 LONG_WORD = 96
 
@@ -325,7 +327,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = coder(key, parts.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             tokens, counts, of_ids, of_text = [], [], [], []
             for found in machine.encode([x or "" for x in batch.column("text").to_pylist()]):
                 counts.append(len(found))

@@ -13,8 +13,8 @@ from keysift.session import shared_dir
 
 #: ASCII white space that separates words: [\x20\x09-\x0D], what bytes.split() splits at.
 SPACES = b" \t\n\x0b\x0c\r"
-#: Bytes of text that one round of array work takes.
-BUFFER = 1 << 20
+#: Bytes of text that one round of array work takes; its arrays need about a hundred times that.
+BUFFER = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
