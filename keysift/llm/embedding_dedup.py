@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysift.llm.common import cut, group_starts, pairs_in_groups, partitions, whole_groups
-from keysift.llm.graph import components, meetings
+from keysift.llm.graph import components, meetings, sized
 
 COSINE = 0.9
 RECALL = 0.995
@@ -114,7 +114,7 @@ def links(items: DataFrame, cosine: float = COSINE, recall: float = RECALL, seed
     n = partitions(items.sparkSession)
     lines = plan(items.count(), cosine, recall)
     placed = items.mapInArrow(_projected(lines, seed), "cell long, item long, at double")
-    met = meetings(placed, "cell", "item", BLOCK).repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "at")
+    met = meetings(sized(placed, "cell"), "item", BLOCK).repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "at")
     pairs = met.mapInArrow(_collisions(lines.half), "a long, b long").groupBy("a", "b").agg(
         F.count("*").alias("n")).where(F.col("n") >= COUNT).select("a", "b")
     one, two = (items.select(F.col("item").alias(c), F.col("unit").alias(f"unit_{c}")) for c in "ab")

@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        # written, so that Spark splits the join at a node with many edges
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
         large = both.where("b > a").join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = cut(large.distinct(), "edges")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
@@ -34,16 +35,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def meetings(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
-    """The rows so that each two of equal ``key`` meet in exactly one group.
+def sized(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``n``, how many of them have their ``key``; keys with one row are left out.
 
-    Adds ``i``, ``j`` and ``side``. A key with up to ``block`` rows is the one group (0, 0). Those of
+    The counts are written first: Spark splits a hot key of a join with a table, not of one with
+    an aggregate, which would have to be done in the same task.
+    """
+    return rows.join(cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "counts"), key)
+
+
+def meetings(rows: DataFrame, item: str, block: int) -> DataFrame:
+    """The rows of ``sized`` so that each two of equal key meet in exactly one group of that key.
+
+    Puts ``i``, ``j`` and ``side`` in place of ``n``. A key with up to ``block`` rows is the one group (0, 0). Those of
     a larger one are dealt by ``item`` to blocks of about that size, and a group (i, j) holds two
     blocks (``side`` 0 and 1; rows of one side meet in a group of their own) or one, so no
-    task gets more than two blocks. Keys with one row are left out.
+    task gets more than two blocks.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(counts, key).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
+    dealt = rows.withColumn("n", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64(item), F.col("n")).cast("int")
     return dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
         "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),

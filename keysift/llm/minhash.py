@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from keysift.llm.common import (
     BUFFER, MULTIPLIERS, Rolling, bytes_of, cut, group_starts, mix, pairs_in_groups, partitions, slices, whole_groups,
     words_of)
-from keysift.llm.graph import components, meetings
+from keysift.llm.graph import components, meetings, sized
 
 SHINGLE = 5
 COORDINATES = 32
@@ -217,12 +217,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
         F.min("id").alias("item"), F.min_by("signature", "id").alias("signature")), "items")
     signed_items = item.groupBy("item").agg(F.min("signature").alias("signature"))
     pairs = signed_items.select("item", F.posexplode("signature")).select("item", F.xxhash64("pos", "col").alias("pair"))
-    common = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
     entry = F.struct("n", "pair")
     rarest = F.expr(f"slice(array_sort(pairs), 1, size(pairs) - {MATCHES - 1})")
-    posted = pairs.join(common, "pair").groupBy("item").agg(F.collect_list(entry).alias("pairs")).where(
-        F.size("pairs") >= MATCHES).select("item", F.explode(rarest).alias("p")).select("item", "p.pair")
-    met = meetings(posted, "pair", "item", LIST_BLOCK).join(signed_items, "item")
+    posted = cut(sized(pairs, "pair").groupBy("item").agg(F.collect_list(entry).alias("pairs")).where(
+        F.size("pairs") >= MATCHES).select("item", F.explode(rarest).alias("p")).select("item", "p.pair"), "posted")
+    met = meetings(sized(posted, "pair"), "item", LIST_BLOCK).join(signed_items, "item")
     met = met.repartition(n, "pair", "i", "j").sortWithinPartitions("pair", "i", "j")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +229,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             yield from candidates(lists).to_batches()
 
     near = cut(components(met.mapInArrow(listed, "a long, b long")), "candidates")
-    # the texts of sets that may be near another, each once unless its group is large
-    alone = texts.join(near.withColumnRenamed("node", "id"), "id").groupBy(F.col("id").alias("item"), "component").agg(
-        F.min("text").alias("text"))
-    compared = meetings(alone, "component", "item", SET_BLOCK).repartition(n, "component", "i", "j").sortWithinPartitions(
+    # the texts of sets that may be near another, each once unless its group is large; groups are counted without texts
+    alone = texts.join(sized(near, "component").withColumnRenamed("node", "id"), "id").groupBy(
+        F.col("id").alias("item"), "component", "n").agg(F.min("text").alias("text"))
+    compared = meetings(alone, "item", SET_BLOCK).repartition(n, "component", "i", "j").sortWithinPartitions(
         "component", "i", "j").select("component", "i", "j", "side", "item", "text")
     linked = components(compared.mapInArrow(_confirmed(percent), "a long, b long"))
     of_item = item.join(linked.withColumnRenamed("node", "item"), "item", "left").select(
