@@ -16,6 +16,9 @@ from keysift.llm import minhash, packing, quality, suffix_dedup, toxicity
 from keysift.llm.common import BUFFER, cut, slices, table
 from keysift.llm.queries import CATEGORIES
 
+#: Percent of two documents' shingles from which they are near duplicates. (op7's 85 is that query's contract.)
+SIMILAR = 80
+
 
 def _filtered(docs: DataFrame, keep) -> DataFrame:
     """The rows whose text ``keep`` (from a list of texts in UTF-8 to a list of booleans) says yes to."""
@@ -41,7 +44,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of smallest id stays; of rows that repeat an id,
     the first by their other columns. Rows with a null id stay."""
-    found = cut(minhash.classes(docs), "classes")
+    found = cut(minhash.classes(docs, percent=SIMILAR), "classes")
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # ids should be unique; where one is not, its rows are gathered. Without any, the texts are not read again.

@@ -1,12 +1,12 @@
 """Near duplicates by an inverted join of MinHash signatures.
 
 Each distinct set of shingles has a signature of COORDINATES least hashes. A set is posted under
-its (coordinate, value) pairs, and two sets that collide in at least MATCHES of them are
+its (coordinate, value) pairs, and two sets that collide in at least ``least_matches`` of them are
 candidates. Two sets of similarity s collide in a binomial number of mean COORDINATES * s;
-at 0.85 it falls below MATCHES about once in 100,000 pairs.
+at the least similarity asked for it falls below that in MISSED of all pairs at most.
 
-Prefix: the pairs of a set are taken from the rarest to the commonest. Sets with MATCHES
-collisions share a pair among the rarest COORDINATES - MATCHES + 1 of both, so only those are
+Prefix: the pairs of a set are taken from the rarest to the commonest. Sets with m
+collisions share a pair among the rarest COORDINATES - m + 1 of both, so only those are
 posted; the long lists of common lines and passages are skipped, and their collisions
 counted from the signatures when a short list has brought two sets together. Pairs that
 one set alone has bring nothing together and are not posted at all.
@@ -18,6 +18,7 @@ set, by an incidence product, and again the forest of the links found goes on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,23 @@ from keysift.llm.graph import components, meetings, sized
 
 SHINGLE = 5
 COORDINATES = 32
-MATCHES = 18
+#: The greatest chance that a pair just similar enough is no candidate.
+MISSED = 2e-5
 SIMILAR = 85  # percent
 #: Sets of a list, or of a group of candidates, that one block holds.
 LIST_BLOCK, SET_BLOCK = 512, 512
 
 
+def least_matches(percent: int) -> int:
+    """The collisions that candidates need: as many as a pair ``percent`` similar lacks with a chance of MISSED at most."""
+    s = percent / 100
+    chance, k = (1 - s) ** COORDINATES, 0  # of at most k collisions
+    while chance <= MISSED and k < COORDINATES:
+        k += 1
+        chance += math.comb(COORDINATES, k) * s ** k * (1 - s) ** (COORDINATES - k)
+    return max(1, k)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, all other bytes as they are."""
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -101,8 +113,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(use, np.int64)
 
 
-def candidates(lists: pa.Table) -> pa.Table:
-    """A spanning forest of the candidate pairs in each posting list."""
+def candidates(lists: pa.Table, matches: int) -> pa.Table:
+    """A spanning forest of the candidate pairs, of at least ``matches`` collisions, in each posting list."""
     starts = group_starts(lists, ["pair", "i", "j"])
     n = lists.num_rows
     side, item = lists.column("side").to_numpy(), lists.column("item").to_numpy()
@@ -117,7 +129,7 @@ def candidates(lists: pa.Table) -> pa.Table:
         go = (label[a] != label[b]) & (~crossed[a] | (side[a] != side[b]))
         a, b = a[go], b[go]
         if len(a):
-            go = (signature[a] == signature[b]).sum(axis=1) >= MATCHES
+            go = (signature[a] == signature[b]).sum(axis=1) >= matches
             a, b = a[go], b[go]
         if len(a):
             use = forest(label[a], label[b], n)
@@ -209,6 +221,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """
     spark = docs.sparkSession
     n = partitions(spark)
+    matches = least_matches(percent)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(texts.mapInArrow(
         _signed, "id long, n_shingles long, one long, two long, signature array<int>"), "signatures")
@@ -218,15 +231,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     signed_items = item.groupBy("item").agg(F.min("signature").alias("signature"))
     pairs = signed_items.select("item", F.posexplode("signature")).select("item", F.xxhash64("pos", "col").alias("pair"))
     entry = F.struct("n", "pair")
-    rarest = F.expr(f"slice(array_sort(pairs), 1, size(pairs) - {MATCHES - 1})")
+    rarest = F.expr(f"slice(array_sort(pairs), 1, size(pairs) - {matches - 1})")
     posted = cut(sized(pairs, "pair").groupBy("item").agg(F.collect_list(entry).alias("pairs")).where(
-        F.size("pairs") >= MATCHES).select("item", F.explode(rarest).alias("p")).select("item", "p.pair"), "posted")
+        F.size("pairs") >= matches).select("item", F.explode(rarest).alias("p")).select("item", "p.pair"), "posted")
     met = meetings(sized(posted, "pair"), "item", LIST_BLOCK).join(signed_items, "item")
     met = met.repartition(n, "pair", "i", "j").sortWithinPartitions("pair", "i", "j")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in whole_groups(batches, ["pair", "i", "j"]):
-            yield from candidates(lists).to_batches()
+            yield from candidates(lists, matches).to_batches()
 
     near = cut(components(met.mapInArrow(listed, "a long, b long")), "candidates")
     # the texts of sets that may be near another, each once unless its group is large; groups are counted without texts
