@@ -6,11 +6,14 @@ string of words, a super-k-mer, to the bucket of their minimiser, where all wind
 minimiser meet. There they are sorted and counted, and each gets the smallest id that has it.
 
 Minimisers that one document alone has are found first, by their hashes, and their
-super-k-mers stay where they are.
+super-k-mers stay where they are. Of minimisers that more than HEAVY different super-k-mers have, each
+window goes on by its own fingerprint, once a chunk, so that no bucket grows with a common passage.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +26,18 @@ WINDOW = 50
 GRAM = 8
 WIDTH = WINDOW - GRAM + 1  # runs of GRAM words in a window
 
-#: A minimiser's hash; its lowest bit tells that several documents of the chunk have it.
+#: Different super-k-mers of one minimiser that may meet in its bucket, counted up to twice too many.
+HEAVY = 1024
+#: A minimiser's hash. Its lowest bit tells that several documents of the chunk have it (in the answer: that it
+#: is heavy), the next five the logarithm of its different super-k-mers there.
+KEY = ~np.uint64(63)
 SEEN = np.dtype("<u8")
 #: A super-k-mer by fingerprint, the windows of it from one on for a number, and the
 #: smallest id that has them.
 FIRST = np.dtype([("x", "<u8"), ("y", "<u4"), ("at", "<u2"), ("count", "<u2"), ("doc", "<i8")])
+#: A window of a heavy minimiser by fingerprint, and the least and largest id that have it.
+MET = np.dtype([("x", "<u8"), ("y", "<u4"), ("low", "<i8"), ("high", "<i8")])
+ALONE = 0xFFFF  # in place of ``at``: the fingerprint is the window's own
 LAST_ID = np.iinfo(np.int64).max
 _BITS = np.uint64(32)  # of a place among the words laid out together
 
@@ -52,6 +62,7 @@ class Cuts:
         sizes = np.diff(self.rows)
         ends = np.repeat(self.rows[1:], sizes)  # for each word, where its text's words end
         windows = np.flatnonzero(np.arange(n) + WINDOW <= ends)
+        self.windows = windows
         self.first = self.last = np.zeros(0, np.int64)
         self.minimiser = np.zeros(0, np.uint64)
         if not len(windows):
@@ -69,10 +80,15 @@ class Cuts:
         #: The first and the last window of each super-k-mer, and its minimiser.
         self.first = windows[of]
         self.last = windows[np.append(of[1:], len(windows)) - 1]
-        self.minimiser = gram[at[of]] & ~np.uint64(1)
+        self.minimiser = gram[at[of]] & KEY
 
     def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.first, self.last + WINDOW
+        return self.prints_of(self.first, self.last + WINDOW)
+
+    def each(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.prints_of(self.windows, self.windows + WINDOW)
+
+    def prints_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (of_runs(self.hashes[0], 0)(a, b),
                 (of_runs(self.hashes[1], 1)(a, b) >> np.uint64(32)).astype(np.uint32))
 
@@ -90,41 +106,73 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
 def _minimisers(n: int):
     def work(batches):
         held: dict[int, list[np.ndarray]] = {}
+        strings: dict[int, list[np.ndarray]] = {}
         for batch, data, starts in laid_out(batches):
             cuts = Cuts(data, starts)
+            x = cuts.prints()[0]
             row = np.searchsorted(cuts.rows, cuts.first, "right") - 1
             chunk, doc = np.asarray(batch.column("chunk"))[row], ids_of(batch)[row]
             for c in np.unique(chunk).tolist():
                 e = np.empty((chunk == c).sum(), [("m", "<u8"), ("doc", "<i8")])
                 e["m"], e["doc"] = cuts.minimiser[chunk == c], doc[chunk == c]
                 held.setdefault(c, []).append(np.unique(e))
+                _, one = np.unique(x[chunk == c], return_index=True)
+                strings.setdefault(c, []).append(np.stack([x[chunk == c][one], e["m"][one]]))
         for c, found in held.items():
             e = np.unique(np.concatenate(found))
             m, times = np.unique(e["m"], return_counts=True)
-            yield letters(((m >> _BITS) % np.uint64(n)).astype(np.int64), m | (times > 1).astype(np.uint64), c, 1, n)
+            x, of = np.concatenate(strings.pop(c), axis=1)
+            count = np.bincount(np.searchsorted(m, of[np.unique(x, return_index=True)[1]]), minlength=len(m))
+            size = np.ceil(np.log2(np.maximum(count, 1))).astype(np.uint64)
+            yield letters(((m >> _BITS) % np.uint64(n)).astype(np.int64),
+                          m | (times > 1).astype(np.uint64) | (size << np.uint64(1)), c, 1, n)
 
     return work
 
 
-def sort_minimisers(e: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those that several documents have."""
-    m = e & ~np.uint64(1)
+def sort_minimisers(e: np.ndarray, chunk: np.ndarray, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """Those that several documents have, and whether more than ``most`` super-k-mers do."""
+    m = e & KEY
     found, of, times = np.unique(m, return_inverse=True, return_counts=True)
     many = times > 1
-    np.logical_or.at(many, of, e != m)
+    np.logical_or.at(many, of, (e & np.uint64(1)) > 0)
+    heavy = np.bincount(of, 2.0 ** ((e >> np.uint64(1)) & np.uint64(31)), len(found)) > most
     use = many[of]
-    return m[use], chunk[use]
+    return m[use] | heavy[of][use].astype(np.uint64), chunk[use]
+
+
+def merged(w: np.ndarray) -> np.ndarray:
+    """Each window of MET records once."""
+    w = w[np.lexsort((w["y"], w["x"]))]
+    new = np.ones(len(w), bool)
+    new[1:] = (w["x"][1:] != w["x"][:-1]) | (w["y"][1:] != w["y"][:-1])
+    at = np.flatnonzero(new)
+    out = w[at]
+    if len(at):
+        out["low"], out["high"] = np.minimum.reduceat(w["low"], at), np.maximum.reduceat(w["high"], at)
+    return out
 
 
 def _packed(n: int):
     def work(docs: pa.Table, replies: pa.Table) -> pa.Table:
         strings: dict[bytes, list] = {}
+        met = [np.zeros(0, MET)]
         if replies.num_rows and docs.num_rows:
             shared = np.unique(records_of(replies.column("blob"), SEEN))
+            heavy = (shared & np.uint64(1)) > 0
+            shared &= KEY
             for batch, data, starts in laid_out(docs.combine_chunks().to_batches()):
                 cuts = Cuts(data, starts)
                 at = np.minimum(np.searchsorted(shared, cuts.minimiser), len(shared) - 1)
                 use = np.flatnonzero(shared[at] == cuts.minimiser)
+                hot, use = use[heavy[at[use]]], use[~heavy[at[use]]]
+                if len(hot):
+                    sizes = cuts.last[hot] - cuts.first[hot] + 1
+                    a = np.repeat(cuts.first[hot] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    w = np.empty(len(a), MET)
+                    w["x"], w["y"] = cuts.prints_of(a, a + WINDOW)
+                    w["low"] = w["high"] = ids_of(batch)[np.searchsorted(cuts.rows, a, "right") - 1]
+                    met.append(merged(w))
                 ids = ids_of(batch)[np.searchsorted(cuts.rows, cuts.first[use], "right") - 1].tolist()
                 begin, end = cuts.begin[cuts.first[use]].tolist(), cuts.end[cuts.last[use] + WINDOW - 1].tolist()
                 flat = data.tobytes()
@@ -142,22 +190,41 @@ def _packed(n: int):
             body.append(words)
         chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
         blobs = [np.array([len(h)], "<i8").tobytes() + np.array(h, "<i8").tobytes() + b"".join(b) for h, b in sent.values()]
-        return pa.table([pa.array(list(sent), pa.int32()), pa.array([chunk] * len(sent), pa.int32()),
-                         pa.array([2] * len(sent), pa.int32()), pa.array(blobs, pa.binary())],
-                        ["bucket", "chunk", "round", "blob"])
+        packed = pa.table([pa.array(list(sent), pa.int32()), pa.array([chunk] * len(sent), pa.int32()),
+                           pa.array([2] * len(sent), pa.int32()), pa.array(blobs, pa.binary())],
+                          ["bucket", "chunk", "round", "blob"])
+        w = merged(np.concatenate(met))
+        return pa.concat_tables([packed, pa.Table.from_batches([letters((w["x"] % np.uint64(n)).astype(np.int64), w, chunk, 3, n)])])
 
     return work
 
 
 def _counted(batches):
-    """Unpacks a bucket's super-k-mers, sorts all their windows and answers each chunk."""
+    """Unpacks a bucket's super-k-mers, sorts all their windows and answers each chunk; so it does with
+    windows that came alone."""
     heads, bodies, chunk = [], [], []
+    met, to = [], []
     for batch in batches:
-        for c, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist()):
+        for c, turn, blob in zip(*(batch.column(k).to_pylist() for k in ("chunk", "round", "blob"))):
+            if turn == 3:
+                met.append(np.frombuffer(blob, MET))
+                to.append(np.full(len(met[-1]), c, np.int32))
+                continue
             n = int(np.frombuffer(blob, "<i8", 1)[0])
             heads.append(np.frombuffer(blob, "<i8", 3 * n, 8).reshape(n, 3))
             bodies.append(blob[8 + 24 * n:])
             chunk.append(np.full(n, c, np.int32))
+    if met:
+        w, to = np.concatenate(met), np.concatenate(to)
+        order = np.lexsort((w["y"], w["x"]))
+        w, to = w[order], to[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w["x"][1:] != w["x"][:-1]) | (w["y"][1:] != w["y"][:-1])
+        low = np.minimum.reduceat(w["low"], np.flatnonzero(new))[np.cumsum(new) - 1]
+        use = low < w["high"]
+        out = np.empty(int(use.sum()), FIRST)
+        out["x"], out["y"], out["at"], out["count"], out["doc"] = w["x"][use], w["y"][use], ALONE, 1, low[use]
+        yield from chunks.answers(to[use], out, 2)
     if not heads:
         return
     head, chunk = np.concatenate(heads), np.concatenate(chunk)
@@ -205,23 +272,30 @@ def _counted(batches):
     yield from chunks.answers(chunk[owner[at]], out, 2)
 
 
+def _covered(cover: np.ndarray, known: np.ndarray, first: np.ndarray, prints: tuple, ids: np.ndarray) -> None:
+    """Adds to ``cover`` what the answers on the runs of words at ``first`` say, for the document of each."""
+    x, y = prints
+    a, b = np.searchsorted(known["x"], x), np.searchsorted(known["x"], x, "right")
+    owner = np.repeat(np.arange(len(x)), b - a)
+    hit = known[np.arange(len(owner)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[owner]]
+    use = (hit["y"] == y[owner]) & (hit["doc"] < ids[owner])
+    begin = first[owner[use]] + hit["at"][use]
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + hit["count"][use] + WINDOW - 1, -1)
+
+
 def _cut(docs: pa.Table, replies: pa.Table) -> pa.Table:
     known = records_of(replies.column("blob"), FIRST) if replies.num_rows else np.zeros(0, FIRST)
     known = known[np.argsort(known["x"], kind="stable")]
+    alone, strings = known[known["at"] == ALONE], known[known["at"] != ALONE]
+    alone["at"] = 0
     out = []
     for batch, data, starts in laid_out(docs.combine_chunks().to_batches()):
         cuts = Cuts(data, starts)
         cover = np.zeros(len(cuts.begin) + 1, np.int32)
-        if len(known) and len(cuts.first):
-            x, y = cuts.prints()
-            a, b = np.searchsorted(known["x"], x), np.searchsorted(known["x"], x, "right")
-            owner = np.repeat(np.arange(len(x)), b - a)
-            hit = known[np.arange(len(owner)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[owner]]
-            ids = ids_of(batch)[np.searchsorted(cuts.rows, cuts.first[owner], "right") - 1]
-            use = (hit["y"] == y[owner]) & (hit["doc"] < ids)
-            begin = cuts.first[owner[use]] + hit["at"][use]
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, begin + hit["count"][use] + WINDOW - 1, -1)
+        for known, first, prints in ((strings, cuts.first, cuts.prints), (alone, cuts.windows, cuts.each)):
+            if len(known) and len(first):
+                _covered(cover, known, first, prints(), ids_of(batch)[np.searchsorted(cuts.rows, first, "right") - 1])
         gone = np.cumsum(cover[:-1]) > 0
         removed = np.concatenate([[0], np.cumsum(gone)])
         flat = data.tobytes()
@@ -248,11 +322,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gives an empty one. Ids must be integers.
 
     The text is shuffled once, 8 bytes per super-k-mer once, and super-k-mers whose
-    minimiser several documents have once more, each at most once a chunk.
+    minimiser several documents have once more, each at most once a chunk. In a bucket at most HEAVY different
+    ones of a minimiser meet; of a heavier one each window (28 bytes) is sent once a chunk to a bucket of its own
+    fingerprint, so a bucket gets at most as many rows of one window as there are chunks.
     """
     n = partitions(docs.sparkSession)
     dealt = chunks.deal(docs, id_col, text_col, n)
-    shared = chunks.resolve(dealt.mapInArrow(_minimisers(n), LETTERS), 1, SEEN, sort_minimisers)
+    shared = chunks.resolve(dealt.mapInArrow(_minimisers(n), LETTERS), 1, SEEN, functools.partial(sort_minimisers, most=HEAVY))
     packed = chunks.reply(dealt, shared, _packed(n), LETTERS)
     counted = packed.repartition(n, "bucket").mapInArrow(_counted, LETTERS)
     kinds = dict(dealt.dtypes)
