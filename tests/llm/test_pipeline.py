@@ -29,7 +29,7 @@ def test_stages(spark):
             assert now == [r for r, k in zip(before, quality.keeps([r[1].encode() for r in before])) if k]
             assert 0 < len(now) < len(before)
         elif name == "minhash_near_dedup":
-            classes = plain.near_duplicates([(r[0], r[1]) for r in before])
+            classes = plain.near_duplicates([(r[0], r[1]) for r in before], corpus_pipeline.SIMILAR)
             assert now == [r for r in before if classes[r[0]][1] == r[0]] and len(now) < len(before)
         else:
             want = [p[3].decode("utf-8", "ignore") for p in plain.repeated_bytes([r[1] for r in before])]
