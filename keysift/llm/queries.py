@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysift.llm import bpe, embedding_dedup, licenses, minhash, packing, quality, suffix_dedup, superkmer, toxicity, warc
+from keysift.llm import (
+    bpe, embedding_dedup, licenses, lm, minhash, packing, phrases, quality, suffix_dedup, superkmer, toxicity, warc, whitening)
 from keysift.llm.common import cut, scratch, table
 
 #: Label columns in the order of the chain: a document of low quality is hardly ever labelled toxic.
@@ -82,9 +83,26 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
                         packing.cluster_key(F.col("text")))
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The phrases of each language that stick together most."""
+    return phrases.mine(table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened coordinates of every vector on the first components."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op13_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's probability by a model of the documents that are not held out."""
+    docs = table(spark, sf, "documents")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    return lm.score(docs, lm.fit(docs.where(~held_out)), extra={"held_out": held_out})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_toxicity, op3_suffix_dedup, op4_embedding_dedup, op5_warc, op6_quality_rules, op7_minhash,
-    op8_licenses, op9_superkmer_dedup, op10_packing)}
+    op8_licenses, op9_superkmer_dedup, op10_packing, op11_phrases, op12_whitening, op13_lm)}
 
 
 def _text(value: str) -> str:
@@ -142,4 +160,29 @@ _REPEATS = rf"""
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
     FROM docs LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op5_warc": _warc_sql(), "op8_licenses": _license_sql(), "op9_superkmer_dedup": _REPEATS}
+_PHRASES = r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+              FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, range(1, 5) sizes(size))),
+    counts AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+    candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two
+             FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+    scored AS (SELECT c.lang, c.phrase, a, k, x.n AS l, y.n AS r, ((2000000::HUGEINT * a) // (x.n::HUGEINT + y.n))::BIGINT AS score
+               FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = one JOIN counts y ON y.lang = c.lang AND y.phrase = two),
+    worst AS (SELECT lang, phrase, a, l, r, score FROM scored
+              QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase
+               FROM (SELECT *, unnest(range(1, size - m + 2)) AS i
+                     FROM (SELECT lang, a AS f, size, w, unnest(range(2, size)) AS m FROM candidates WHERE size > 2))),
+    over_ AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM worst JOIN totals USING (lang) LEFT JOIN over_ USING (lang, phrase)
+    WHERE f IS NULL OR 100::HUGEINT * f < 80::HUGEINT * a
+    QUALIFY rank <= 2000"""
+
+ORACLE: dict[str, str] = {"op5_warc": _warc_sql(), "op8_licenses": _license_sql(), "op9_superkmer_dedup": _REPEATS,
+                          "op11_phrases": _PHRASES}
