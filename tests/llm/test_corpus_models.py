@@ -73,11 +73,11 @@ def test_trie_bursts_and_spills(monkeypatch):
     trie = phrases.Trie()
     first, rest = np.array([rng.randrange(1, 2000) for _ in range(3000)]), np.array([rng.randrange(5) for _ in range(3000)])
     trie.add(first[:1500], rest[:1500])
-    some = [e for part in trie.spill(500) for e in part]
+    some = list(zip(*trie.spill(500)))
     trie.add(first[1500:], rest[1500:])
     assert any(c.entries is None for c in trie.subtrees)
     total = Counter()
-    for key, n in some + [e for part in trie.spill(0) for e in part]:
+    for key, n in some + list(zip(*trie.spill(0))):
         total[key] += n
     assert total == Counter((first << 32 | rest).tolist()) and sum(trie.sizes) == 0
 
@@ -94,11 +94,13 @@ def test_runs_of_any_limits(monkeypatch):
     every = type("B", (), {"value": np.full(phrases.BITS // 8, 255, np.uint8)})
     found = Counter()
     for sizes, bits in (((1,), (None, None)), ((2,), (every, None)), ((3, 4), (every, every))):
-        for out in phrases._runs(sizes, *bits, 8)(iter([batch])):
-            listed = out.column("phrase").to_pylist()
-            assert listed == sorted(listed, key=str.encode)
-            for lang, p, n in zip(out.column("lang").to_pylist(), listed, out.column("n").to_pylist()):
-                found[lang, p] += n
+        sent = list(phrases._runs(sizes, *bits, 8)(iter([batch])))
+        for r in (r for out in sent for r in out.to_pylist() if r["size"]):
+            words, at, _ = phrases.unpacked(r["words"], r["body"], r["size"])
+            assert words == sorted(set(words)) and at.tolist() == sorted(at.tolist())  # a sorted run
+        for out in phrases._merged(1)(iter(sent)):
+            for r in out.to_pylist():
+                found[r["lang"], r["phrase"]] += r["n"]
     want = Counter()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for lang, text in rows:
