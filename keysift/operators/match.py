@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from keysift import schemas
 from keysift.functions import levels
 from keysift.functions.text import LINES, match_lines, newlines
-from keysift.operators.rules import Rule, RuleSet
+from keysift.operators.automaton import candidates
+from keysift.operators.rules import FOLDING_LETTERS, Rule, RuleSet
 
-# The letters outside ASCII that a regex ignoring case takes for ASCII ones and that
-# lower() does not map to them: long s, Kelvin sign, dotted I, dotless i.
-FOLDING_LETTERS = "\u017f\u212a\u0130\u0131"
+#: Rules that are literals of one expression; the literals of more are one automaton.
+INLINE_RULES = 64
 
 
 def _contains_any(text: Column, literals: tuple[str, ...] | str) -> Column:
@@ -48,6 +48,8 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
     if not scannable:
         return units.select("*", F.lit(0).alias("rule_ord"),
                             F.array().cast("array<string>").alias("matches")).where(F.lit(False))
+    if len(scannable) > INLINE_RULES:
+        return _find_candidates(units, rules, text)
     t, whole = F.col(text), F.lit(0)
     first: dict[tuple, tuple[str, Column]] = {}
     per_rule = []
@@ -83,6 +85,17 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
             .select(*units.columns, "_hit.rule_ord", "_hit.matches"))
 
 
+def _find_candidates(units: DataFrame, rules: RuleSet, text: str) -> DataFrame:
+    """``find_matches`` by the automaton."""
+    matches = F.transform("_candidates", lambda c: F.struct(
+        c["rule_ord"].alias("rule_ord"), F.regexp_extract_all(F.col(text), c["regex"], F.lit(0)).alias("matches")))
+    hits = F.filter(matches, lambda h: F.size(h["matches"]) > 0)
+    return (units
+            .select("*", candidates(units.sparkSession, F.col(text), rules).alias("_candidates"))
+            .select(*units.columns, F.explode(hits).alias("_hit"))
+            .select(*units.columns, "_hit.rule_ord", "_hit.matches"))
+
+
 def match_values(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
     """One row per match, without lines: the unit's columns but the text, the rule's
     name, ``match_no`` (from 0) and ``match``."""

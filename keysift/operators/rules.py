@@ -15,6 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift import schemas
+from keysift.operators import literals
+
+# The letters outside ASCII that a regex ignoring case takes for ASCII ones and that
+# lower() does not map to them: long s, Kelvin sign, dotted I, dotless i.
+FOLDING_LETTERS = "\u017f\u212a\u0130\u0131"
 
 # Name, regex, keywords, description, confidence boost.
 BUILT_IN = [
@@ -91,7 +96,8 @@ BUILT_IN = [
 
 # What any match of a built-in rule contains: of each group one literal, lower case for
 # the rules that ignore case. The first group is common to several rules or rare. They
-# only let the scan skip a regex that cannot match; a rule without any always runs.
+# only let the scan skip a regex that cannot match; a rule without any always runs. Those of
+# other rules are derived from their regexes.
 ANCHORS = {
     "aws_access_key": (("AKIA",),),
     "aws_secret_key": (("aws",),),
@@ -127,19 +133,26 @@ MAX_RULES = 10_000
 
 @dataclass(frozen=True)
 class Rule:
-    """One detection rule; ``regex`` is None for a rule only the model knows."""
+    """One detection rule; ``regex`` is None for a rule only the model knows.
+
+    ``anchors`` are groups of literals of which any match holds one each; None derives them from the regex, and () is
+    for a rule that runs on every text.
+    """
 
     name: str
     regex: str | None
     keywords: tuple[str, ...]
     description: str
     confidence_boost: Decimal = Decimal("0.0")
-    anchors: tuple[tuple[str, ...], ...] = ()
+    anchors: tuple[tuple[str, ...], ...] | None = None
     probe: str | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "keywords", tuple(self.keywords))
         object.__setattr__(self, "confidence_boost", Decimal(str(self.confidence_boost)))
+        if self.anchors is None:
+            found = literals.anchors(self.regex.removeprefix("(?i)"), self.ignores_case) if self.regex else ()
+            object.__setattr__(self, "anchors", found)
 
     @property
     def ignores_case(self) -> bool:
@@ -234,18 +247,33 @@ class RuleSet:
 
 
 def _check_regexes(rules: tuple[Rule, ...]) -> None:
-    """Raises ValueError for a regex that Spark can't compile; built-in ones are known to be right."""
+    """Raises ValueError for a regex that Spark can't compile; built-in ones are known to be right.
+
+    All new regexes are compiled by one query over a local table; only when it fails, halves of them tell which is wrong.
+    """
     spark = SparkSession.getActiveSession()
-    for rule in rules if spark else ():
-        if rule.regex and not rule.anchors and rule.regex not in _COMPILED:
-            try:
-                spark.range(1).select(F.regexp_like(F.lit(""), F.lit(rule.java_regex))).collect()
-            except Exception as e:
-                raise ValueError(f"rule {rule.name}: {rule.regex!r} is no regex that Spark knows") from e
-            _COMPILED.add(rule.regex)
+    new = {r.java_regex: r for r in rules if r.regex and r.regex not in _COMPILED}
+    if not spark or not new:
+        return
+
+    def wrong(regexes: list[str]) -> str | None:
+        rows = spark.createDataFrame([(r,) for r in regexes], "regex string")
+        try:
+            rows.select(F.regexp_like(F.lit(""), F.col("regex")).alias("ok")).agg(F.count("ok")).collect()
+            return None
+        except Exception:
+            if len(regexes) == 1:
+                return regexes[0]
+            half = len(regexes) // 2
+            return wrong(regexes[:half]) or wrong(regexes[half:])
+
+    bad = wrong(list(new))
+    if bad:
+        raise ValueError(f"rule {new[bad].name}: {new[bad].regex!r} is no regex that Spark knows")
+    _COMPILED.update(r.regex for r in new.values())
 
 
-_COMPILED: set[str] = set()
+_COMPILED: set[str] = {row[1] for row in BUILT_IN}
 
 
 def java_dialect(regex: Column) -> Column:
@@ -256,7 +284,7 @@ def java_dialect(regex: Column) -> Column:
 def _hints(name: str, regex: str | None) -> tuple:
     """Anchors and probe of a built-in rule, if this is one unchanged."""
     known = any((name, regex) == row[:2] for row in BUILT_IN)
-    return (ANCHORS[name], PROBES.get(name)) if known else ((), None)
+    return (ANCHORS[name], PROBES.get(name)) if known else (None, None)
 
 
 def default_rules() -> RuleSet:
