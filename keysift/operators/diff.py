@@ -107,11 +107,11 @@ def scan_units(commits_window: DataFrame, patches: DataFrame) -> DataFrame:
         message_units(commits_window))
 
 
-def text_units(df: DataFrame, repository: Column, file_path: Column, text: Column) -> DataFrame:
-    """Rows of a plain corpus as units: whole texts, nothing committed."""
+def text_units(df: DataFrame, repository: Column, file_path: Column, text: Column, *carry: str) -> DataFrame:
+    """Rows of a plain corpus as units: whole texts, nothing committed. ``carry`` names further columns to keep."""
     return df.select(
         repository.cast("string").alias("repository"),
         F.lit(schemas.UNCOMMITTED).alias("commit_hash"), F.lit(0).alias("commit_rank"),
         F.lit("untracked").alias("origin"), file_path.cast("string").alias("file_path"),
         F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("date"),
-        text.alias("text"), F.lit(None).cast("array<int>").alias("line_nos"))
+        text.alias("text"), F.lit(None).cast("array<int>").alias("line_nos"), *carry)
