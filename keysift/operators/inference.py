@@ -2,12 +2,16 @@
 
 A client factory is any picklable callable that takes the ``ModelOptions`` of the scan, so that
 an answer is filed under the options it was made with, and returns a client: a callable
-from prompt to answer text. A client with ``close()`` is closed when its task is done.
+from prompt to answer text. A client with ``is_available()`` or ``initialize()`` is asked whether it is there
+and made ready before its first call; where one of them says no or raises, as where the factory
+raises, the task's contents fail, one by one, and the task does not. A client with ``close()`` is
+closed when its task is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +29,8 @@ from keysift.session import cut_lineage
 Client = Callable[[str], str]
 ClientFactory = Callable[[ModelOptions], Client]
 ROWS_PER_YIELD = 64
+#: How the message of a content begins whose task had no client; others are failed calls.
+UNAVAILABLE = "ProviderUnavailable"
 
 
 def keyed_chunks(units: DataFrame, rules: RuleSet, model: ModelOptions,
@@ -61,42 +67,82 @@ def prompts_for(distinct: DataFrame, rules: RuleSet) -> DataFrame:
     return distinct.select("cache_key", "copies", prompt(F.col("content"), rules).alias("prompt"))
 
 
+def ready_client(client_factory: ClientFactory, model: ModelOptions) -> tuple[Client | None, str | None]:
+    """A client that is there and ready, or None and why."""
+    client = None
+    try:
+        client = client_factory(model)
+        for step in ("is_available", "initialize"):
+            if hasattr(client, step) and getattr(client, step)() is False:
+                raise RuntimeError(f"{step}() says no")
+        return client, None
+    except Exception as e:  # a provider that is not there must not fail the scan
+        _close(client)
+        return None, f"{UNAVAILABLE}: {e}"
+
+
+def _close(client: Client | None) -> None:
+    if hasattr(client, "close"):
+        client.close()
+
+
 def ask(distinct: DataFrame, rules: RuleSet, client_factory: ClientFactory,
-        model: ModelOptions = ModelOptions(), tasks: int | None = None) -> DataFrame:
+        model: ModelOptions = ModelOptions(), tasks: int | None = None, in_flight: int = 1, turn: int = 0) -> DataFrame:
     """``cache_key, copies, response, error``: a client's answer per content (``contents_of``).
 
-    A call that raises counts as an empty answer; its message goes to ``error``. The
-    calls are split over ``tasks`` tasks (default: the session's shuffle partitions,
-    one per core at least); more and shorter tasks lose less when an executor dies.
+    A call that raises counts as an empty answer; its message goes to ``error``, as does that of a client
+    which is not there (UNAVAILABLE). The calls are split over ``tasks`` tasks (default: the session's shuffle partitions,
+    one per core at least); more and shorter tasks lose less when an executor dies. A task has at most ``in_flight``
+    calls open at a time; a client that gets several must be safe to call from threads. ``turn`` deals the contents
+    differently.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory(model)
+        client, missing = ready_client(client_factory, model)
 
         def call(text: str) -> tuple[str, str | None]:
+            if client is None:
+                return "", missing
             try:
                 return (client(text) or "").strip(), None
             except Exception as e:  # a failed call must not fail the scan
                 return "", f"{type(e).__name__}: {e}"
 
-        try:
-            for batch in batches:
-                for i in range(0, len(batch), ROWS_PER_YIELD):
-                    rows = batch.iloc[i:i + ROWS_PER_YIELD]
-                    answers = [call(p) for p in rows["prompt"]]
-                    yield pd.DataFrame({
-                        "cache_key": rows["cache_key"].to_numpy(), "copies": rows["copies"].to_numpy(),
-                        "response": [a for a, _ in answers], "error": [e for _, e in answers]})
-        finally:
-            if hasattr(client, "close"):
-                client.close()
+        with ThreadPoolExecutor(in_flight) as pool:
+            each = pool.map if in_flight > 1 else map
+            try:
+                for batch in batches:
+                    for i in range(0, len(batch), ROWS_PER_YIELD):
+                        rows = batch.iloc[i:i + ROWS_PER_YIELD]
+                        answers = list(each(call, rows["prompt"]))
+                        yield pd.DataFrame({
+                            "cache_key": rows["cache_key"].to_numpy(), "copies": rows["copies"].to_numpy(),
+                            "response": [a for a, _ in answers], "error": [e for _, e in answers]})
+            finally:
+                _close(client)
 
     spark = distinct.sparkSession
     tasks = tasks or max(spark.sparkContext.defaultParallelism,
                          int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return prompts_for(distinct.repartition(tasks, "cache_key"), rules).mapInPandas(
+    by = F.col("cache_key") if not turn else F.xxhash64("cache_key", F.lit(turn))
+    return prompts_for(distinct.repartition(tasks, by), rules).mapInPandas(
         run, "cache_key string, copies long, response string, error string")
 
 
+def ask_again(distinct: DataFrame, chunks: DataFrame, rules: RuleSet, client_factory: ClientFactory,
+              model: ModelOptions = ModelOptions(), tasks: int | None = None, in_flight: int = 1, turns: int = 1) -> DataFrame:
+    """``ask`` about the keys of ``distinct``, in up to ``turns`` turns: contents whose task had no client are dealt to other
+    tasks in the next one. Each turn's answers are materialised; failed calls are not repeated."""
+    answers = None
+    for turn in range(turns):
+        asked = cut_lineage(ask(contents_of(distinct, chunks), rules, client_factory, model, tasks, in_flight, turn))
+        answers = asked if answers is None else answers.unionByName(asked)
+        lost = asked.where(F.col("error").startswith(UNAVAILABLE))
+        if turn + 1 == turns or lost.isEmpty():
+            return answers
+        answers = answers.where(F.col("error").isNull() | ~F.col("error").startswith(UNAVAILABLE))
+        distinct = lost.select("cache_key", "copies")
+
+
 def known_answers(distinct: DataFrame, cache: DataFrame) -> DataFrame:
     """``cache_key, copies, response, error`` of the contents the cache has."""
     once = cache.groupBy("cache_key").agg(F.min("response").alias("response"))
@@ -106,7 +152,7 @@ def known_answers(distinct: DataFrame, cache: DataFrame) -> DataFrame:
 
 def answers_for(chunks: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
                 cache: DataFrame | None = None, model: ModelOptions = ModelOptions(),
-                tasks: int | None = None) -> DataFrame:
+                tasks: int | None = None, in_flight: int = 1, turns: int = 1) -> DataFrame:
     """``cache_key, copies, response, error`` for every distinct content of ``chunks`` (with
     ``cache_key`` and ``content``): from the cache where it has the key, else from a client; without
     a client, from the cache only. Keys alone decide which is which; the contents that are asked
@@ -114,10 +160,9 @@ def answers_for(chunks: DataFrame, rules: RuleSet, client_factory: ClientFactory
     distinct = distinct_chunks(chunks)
     if client_factory is None:
         return cut_lineage(known_answers(distinct, cache))
-    if cache is None:
-        return cut_lineage(ask(contents_of(distinct, chunks), rules, client_factory, model, tasks))
-    asked = ask(contents_of(not_cached(distinct, cache), chunks), rules, client_factory, model, tasks)
-    return cut_lineage(asked.unionByName(known_answers(distinct, cache)))
+    new = distinct if cache is None else cut_lineage(not_cached(distinct, cache))
+    asked = ask_again(new, chunks, rules, client_factory, model, tasks, in_flight, turns)
+    return asked if cache is None else asked.unionByName(cut_lineage(known_answers(distinct, cache)))
 
 
 def attach_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -151,17 +196,17 @@ def failed_chunks(chunks: DataFrame, answers: DataFrame) -> DataFrame:
 
 def model_run(units: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
               model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
-              size: int = CHUNK_CHARS, tasks: int | None = None) -> ModelRun:
+              size: int = CHUNK_CHARS, tasks: int | None = None, in_flight: int = 1, turns: int = 1) -> ModelRun:
     chunks = keyed_chunks(units, rules, model, size)
-    answers = answers_for(keyed_contents(units, rules, model, size), rules, client_factory, cache, model, tasks)
+    answers = answers_for(keyed_contents(units, rules, model, size), rules, client_factory, cache, model, tasks, in_flight, turns)
     return ModelRun(answer_findings(attach_answers(chunks, answers)), answers, failed_chunks(chunks, answers))
 
 
 def model_findings(units: DataFrame, rules: RuleSet, client_factory: ClientFactory | None,
                    model: ModelOptions = ModelOptions(), cache: DataFrame | None = None,
-                   size: int = CHUNK_CHARS, tasks: int | None = None) -> DataFrame:
+                   size: int = CHUNK_CHARS, tasks: int | None = None, in_flight: int = 1, turns: int = 1) -> DataFrame:
     """The model's findings in ``units`` (raw, like the regex ones)."""
-    return model_run(units, rules, client_factory, model, cache, size, tasks).findings
+    return model_run(units, rules, client_factory, model, cache, size, tasks, in_flight, turns).findings
 
 
 def extend_cache(answers: DataFrame, path: str) -> None:

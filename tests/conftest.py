@@ -17,6 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     s = session("local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
