@@ -13,7 +13,7 @@ from catalog.oracle import ORACLE
 from catalog.queries import QUERIES
 from keysift.session import session
 
-TABLES = ["documents", "pages", "conversations", "events", "labels", "benchmark"]
+TABLES = ["documents", "pages", "conversations", "events", "labels", "benchmark", "nation", "part"]
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:

@@ -32,3 +32,23 @@ def refuser(needle: str) -> Callable[..., Callable[[str], str]]:
             return "[]"
         return answer
     return client
+
+
+def absent_in(inner: Callable[..., Callable[[str], str]], tasks: str) -> Callable[..., object]:
+    """A factory of clients of ``inner`` that are not available in some tasks: those of an odd number, or all."""
+    def client(options) -> object:
+        from pyspark import TaskContext
+
+        class Provider:
+            def is_available(self) -> bool:
+                return tasks == "odd" and TaskContext.get().partitionId() % 2 == 0
+
+            def initialize(self) -> bool:
+                self.answer = inner(options)
+                return True
+
+            def __call__(self, prompt: str) -> str:
+                return self.answer(prompt)
+
+        return Provider()
+    return client

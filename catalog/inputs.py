@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.operators.diff import text_units
+from keysift.plans.documents import json_text
 
 # One secret per built-in rule, in rule order; {h} is an md5 in hex.
 SECRETS = [
@@ -118,6 +119,72 @@ FROM (SELECT conv_id, turn, s, {ANSWER_ITEM} AS item
       FROM (SELECT conv_id, turn, {ANSWER_TEXT} AS s FROM conversations) a) b"""
 
 
+# Tables of rules: fifty in two shapes, and one for each part.
+_DIGIT = "substr(md5(cast(n_nationkey AS string)), 1, 1)"
+TABLE_RULES = f"""
+SELECT cast(n_nationkey AS int) AS rule_ord, 'assigned_' || cast(n_nationkey AS string) AS name,
+       '(?i)(api_key|aws_secret|password)[ ]*=[ ]*"' || {_DIGIT} || '[0-9a-f]{{4,}}' AS regex FROM nation
+UNION ALL
+SELECT cast(100 + n_nationkey AS int), 'prefixed_' || cast(n_nationkey AS string),
+       '(?:ghp_|pypi-|SG[.])' || {_DIGIT} || '[0-9a-f]*' FROM nation"""
+PART_RULES = """
+SELECT cast(p_partkey + 1000 AS int) AS rule_ord, 'leak_' || cast(p_partkey AS string) AS name,
+       CASE p_partkey % 2 WHEN 0 THEN '' ELSE '(?i)' END || substr(md5(cast(p_partkey AS string)), 1, 10)
+       || '[0-9a-f]{6}' AS regex, substr(md5(cast(p_partkey AS string)), 1, 10) AS literal FROM part"""
+
+
+# Minutes at which documents arrive again: after all others, far too late, and a little late.
+AGAIN = "CASE doc_id % 3 WHEN 0 THEN {last} + 5 WHEN 1 THEN 0 ELSE {last} - 10 END"
+
+
+def rule_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A table of rules with the rules schema."""
+    return run(spark, sf_dir, sql).select(
+        "rule_ord", "name", "regex", F.array(F.lit("token")).alias("keywords"),
+        F.concat(F.lit("Rule "), F.col("name")).alias("description"), F.lit("0.10").cast("decimal(3,2)").alias("confidence_boost"))
+
+
+def history_dump(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The commits and their patches as text, as a log with patches prints them, a folder for each repository."""
+    key = ["repository", "commit_hash"]
+    diffs = patches(spark, sf_dir).where("origin = 'commit'").select(*key, "file_path", F.concat(
+        F.lit("diff --git a/"), F.col("file_path"), F.lit(" b/"), F.col("file_path"), F.lit("\nindex 0000001..0000002 100644\n--- a/"),
+        F.col("file_path"), F.lit("\n+++ b/"), F.col("file_path"), F.lit("\n"), F.expr("substr(patch, locate('@@', patch))")).alias("diff"))
+    diffs = diffs.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("diff")), "\n").alias("diffs"))
+    log = commits(spark, sf_dir).join(diffs, key, "left").select("repository", F.concat(
+        F.lit("commit "), F.col("commit_hash"), F.lit("\nAuthor: "), F.col("author"), F.lit("\nDate:   "),
+        F.date_format("commit_date", "EEE MMM d HH:mm:ss yyyy"), F.lit(" +0000\n\n    "),
+        F.replace(F.col("message"), F.lit("\n"), F.lit("\n    ")), F.lit("\n"),
+        F.coalesce(F.concat(F.lit("\n"), F.col("diffs"), F.lit("\n")), F.lit(""))).alias("value"))
+    log.write.partitionBy("repository").text(folder)
+
+
+def indented_reports(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """One report per source, a single file each, as text with two spaces per level: a commit for each document, with a
+    finding in each line, and commits without any. (One task writes a file, as it is one.)"""
+    docs = planted(spark, sf_dir).select("*", F.split("t", "\n").alias("ls"))
+
+    def item(line, number):
+        kind = F.when(number % 3 == 0, "api_key").when(number % 3 == 1, "weird kind")
+        fields = [("file_path", json_text(F.concat(F.lit("docs/"), F.col("doc_id")))), ("line_number", number.cast("string")),
+                  ("snippet", json_text(line)), ("finding_type", F.coalesce(json_text(kind), F.lit("null"))),
+                  ("confidence", F.lit('"High"')), ("rationale", F.lit("null")), ("author", F.lit('"a"')), ("date", F.lit("null"))]
+        told = F.concat_ws(",\n", *[F.concat(F.lit(f'        "{k}": '), v) for k, v in fields])
+        return F.concat(F.lit("      {\n"), told, F.lit("\n      }"))
+
+    findings = F.array_join(F.transform("ls", lambda x, i: item(x, i + 1)), ",\n")
+    commit = F.concat(F.lit('    "'), F.md5(F.col("doc_id").cast("string")), F.lit('": [\n'), findings, F.lit("\n    ],"))
+    none = F.concat(F.lit('    "none '), F.col("doc_id").cast("string"), F.lit('": [],'))
+    head = F.concat(F.lit('{\n  "scan_info": {\n    "repository": '), json_text(F.col("source")), F.lit(
+        ',\n    "total_findings": 1\n  },\n  "findings_by_commit": {'))
+    foot = F.lit('    "last": []\n  },\n  "summary": {\n    "finding_types": {}\n  }\n}')
+    sources = docs.select("source").distinct()
+    parts = docs.select("source", F.col("doc_id").alias("at"), F.concat(commit, F.lit("\n"), none).alias("value")).unionByName(
+        sources.select("source", F.lit(-1).cast("long").alias("at"), head.alias("value"))).unionByName(
+        sources.select("source", F.lit(2**62).alias("at"), foot.alias("value")))
+    parts.repartition("source").sortWithinPartitions("source", "at").select("source", "value").write.partitionBy("source").text(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -125,7 +192,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the given tables, which it names after FROM or JOIN."""
     return spark.sql(re.sub(
-        r"\b(FROM|JOIN) (documents|events|benchmark|pages|conversations|labels)\b",
+        r"\b(FROM|JOIN) (documents|events|benchmark|pages|conversations|labels|nation|part)\b",
         lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", sql))
 
 

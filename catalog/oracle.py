@@ -249,7 +249,52 @@ OTHER_TEXTS = [("x", "SELECT html AS t FROM pages UNION ALL SELECT text FROM con
 SELECT '' AS repository, '' AS commit_hash, 0 AS commit_rank, '' AS file_path, '' AS author, '' AS date, t,
        NULL::INTEGER[] AS line_nos FROM x""")]
 
+# Every match of rules that are rows of a table, on texts of column t.
+RULE_VALUES = "SELECT *, unnest(regexp_extract_all(t, regex, 0)) AS match, generate_subscripts(regexp_extract_all(t, regex, 0), 1) AS i"
+STREAMED = ("again", f"SELECT CAST(doc_id AS VARCHAR) AS file_path, doc_id AS first, last, {inputs.AGAIN.format(last='last')} AS second "
+                     "FROM documents, (SELECT max(doc_id) AS last FROM documents)")
+# A log prints whole seconds, and nothing that is not committed.
+LOGGED = [(name, sql.replace("ts AS commit_date", "date_trunc('second', ts) AS commit_date") if name == "commits"
+           else f"SELECT * FROM ({sql}) WHERE origin = 'commit'" if name == "patches" else sql) for name, sql in SCAN]
+
 ORACLE = {
+    "stream_summary": planted("""
+SELECT repository, 0::BIGINT AS commits_scanned, total_findings, high_confidence, medium_confidence, low_confidence
+FROM c""", ("e", "SELECT DISTINCT * FROM f"), ("c", COUNTS.replace("FROM f", "FROM e"))),
+    "large_report": with_(*report_rows("source"), ("o", """
+SELECT md5(CAST(doc_id AS VARCHAR)) AS commit_hash,
+       CAST(2 * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS INTEGER) AS commit_ord FROM documents"""), select="""
+SELECT rows.* EXCLUDE (report) REPLACE (o.commit_ord AS commit_ord) FROM rows JOIN o USING (commit_hash)"""),
+    "published_report": with_(*SCAN, SCANNED, select="""
+SELECT repository, commit_hash, file_path, line_number, snippet, finding_type, confidence, rationale, author, date, is_uncommitted
+FROM r"""),
+    "lasting_cache": with_(
+        DOCUMENT_UNITS, *hits(RULES.add(TOKEN_RULE)), (
+            "ch0", DOC_CHUNKS[1]), ("ch", """
+SELECT * FROM ch0 WHERE content NOT IN (SELECT content FROM ch0 WHERE doc_id IN (SELECT doc_id FROM labels))"""),
+        CHUNK_LINES, MODEL_FINDINGS, select=f"""
+SELECT {REDACTED_COLUMNS} FROM (SELECT DISTINCT * FROM (SELECT * FROM f UNION ALL SELECT * FROM mf))"""),
+    "model_absent": with_(DOC_CHUNKS, select="""
+SELECT source AS repository, count(*) AS failed_chunks, 'ProviderUnavailable: is_available() says no' AS error FROM ch GROUP BY 1"""),
+    "model_half_absent": with_(DOC_CHUNKS, select="""
+SELECT source AS repository, count(*) AS chunks, count(*) AS told FROM ch GROUP BY 1"""),
+    "table_rule_hits": with_(PLANTED, ("rules", inputs.TABLE_RULES), select="""
+SELECT name AS rule, sum(len(regexp_extract_all(t, regex, 0)))::BIGINT AS hits FROM planted, rules
+GROUP BY name HAVING sum(len(regexp_extract_all(t, regex, 0))) > 0"""),
+    "many_rule_values": planted("""
+SELECT CAST(file_path AS BIGINT) AS doc_id, rule, CAST(i - 1 AS INTEGER) AS match_no, match FROM located
+UNION ALL SELECT doc_id, name, CAST(i - 1 AS INTEGER), match FROM part_values""", ("rules", inputs.PART_RULES), ("part_values", f"""
+{RULE_VALUES} FROM planted JOIN rules ON contains(lower(t), literal)""")),
+    "stream_repository_scan": with_(*SCAN, select=f"""
+SELECT repository, commit_hash, commit_rank, file_path, line_number, {REDACTED} AS snippet, finding_type,
+       confidence, author, date, is_uncommitted, secret_sha256 FROM d"""),
+    "stream_event_dedup": planted("""
+SELECT DISTINCT repository, file_path, line_number, finding_type, secret_sha256,
+       CASE WHEN second > last - 30 AND first <= last - 60 THEN 2 ELSE 1 END::BIGINT AS times
+FROM f JOIN again USING (file_path)""", STREAMED),
+    "history_dump_scan": with_(*LOGGED, select=f"""
+SELECT repository, commit_hash, commit_rank, file_path, line_number, {REDACTED} AS snippet, finding_type,
+       confidence, author, date, secret_sha256 FROM d"""),
     "rule_hits": planted("SELECT rule, count(*) AS hits FROM located GROUP BY rule"),
     "rule_hit_values": planted(
         "SELECT CAST(file_path AS BIGINT) AS doc_id, rule, CAST(i - 1 AS INTEGER) AS match_no, match FROM located"),

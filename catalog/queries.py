@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import inputs
-from catalog.clients import line_flagger, refuser
+from catalog.clients import absent_in, line_flagger, refuser
 from keysift import schemas
 from keysift.operators import answers as ans
 from keysift.operators import diff, history, match
@@ -22,10 +22,17 @@ from keysift.operators.rules import Rule, RuleSet, default_rules
 from keysift.plans import report, sarif, summary
 from keysift.plans.scan import redact_findings, scan, scan_texts
 from keysift.session import cut_lineage, shared_dir
+from keysift.sources.cache import AnswerCache
+from keysift.sources.history import read_history
+from keysift.sources.published import publish_documents, read_published
+from keysift.sources.reports import read_large_reports
+from keysift.streaming import summary as counted
+from keysift.streaming.history import history_findings, newest_commits, write_history_stream
 from keysift.streaming.scan import stream_findings, write_stream
 
 RULES = default_rules()
 MODEL = ModelOptions()
+MANY_RULES = 100_000
 # A secret the given documents do hold, as a custom rule.
 TOKEN_RULE = Rule("hex_token", r'(?i)token[\s]*=[\s]*"[0-9a-f]{40}"', ("token",),
                   "Forty hex digits assigned to a token", Decimal("0.2"))
@@ -64,6 +71,20 @@ def raw_text_hits(spark: SparkSession, sf: str) -> DataFrame:
     return match.count_by_rule(texts, rules)
 
 
+def table_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches per rule of a table of fifty, whose literals are derived from their regexes."""
+    rules = RuleSet.from_df(inputs.rule_table(spark, sf, inputs.TABLE_RULES))
+    return match.count_by_rule(inputs.planted(spark, sf).select(F.col("t").alias("text")), rules)
+
+
+def many_rule_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every match of the built-in rules and of a table of rules with one for each part."""
+    table = RULES.to_df(spark).unionByName(inputs.rule_table(spark, sf, inputs.PART_RULES))
+    rules = RuleSet.from_df(table, most=MANY_RULES)
+    texts = inputs.planted(spark, sf).select("doc_id", F.col("t").alias("text"))
+    return match.match_values(texts, rules).select("doc_id", "rule", "match_no", "match")
+
+
 def findings_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The line and extent of every match."""
     return match.locate_matches(inputs.planted_units(spark, sf), RULES).select(
@@ -375,7 +396,112 @@ def stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/findings").select(*FINDING)
 
 
+def _folder(spark: SparkSession, what: str) -> str:
+    import uuid
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def stream_repository_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan of commits and patches as streams, in two batches; half of the patches come before their commit or after it."""
+    folder = _folder(spark, "history-stream")
+    tables = {"commits": (inputs.commits(spark, sf), "commit_hash"), "patches": (inputs.patches(spark, sf), "reverse(commit_hash)")}
+    for later in (False, True):
+        for name, (rows, by) in tables.items():
+            rows.where(f"(substr({by}, 1, 1) >= '8') = {later}").write.mode("append").parquet(f"{folder}/{name}")
+        streams = [spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}") for name, (rows, _) in tables.items()]
+        write_history_stream(newest_commits(*streams), RULES, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return history_findings(spark, f"{folder}/table").select(
+        "repository", "commit_hash", "commit_rank", "file_path", "line_number", "snippet", "finding_type",
+        "confidence", "author", "date", "is_uncommitted", "secret_sha256")
+
+
+def stream_event_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings in a stream of units by the time they arrive, each once within half an hour: documents arrive one
+    a minute, then all of them again, some of them too late."""
+    folder = _folder(spark, "event-stream")
+    last = "(SELECT max(doc_id) FROM documents)"
+    arrived = "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast({} AS int)) AS arrived"
+    first, again = (inputs.run(spark, sf, f"SELECT doc_id, {arrived.format(minute)} FROM documents")
+                    for minute in ("doc_id", inputs.AGAIN.format(last=last)))
+    texts = inputs.planted(spark, sf)
+    for arrivals in (first, again):
+        rows = texts.join(arrivals, "doc_id").select("doc_id", "source", "t", "arrived")
+        rows.write.mode("append").parquet(f"{folder}/texts")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/texts")
+        units = diff.text_units(stream, F.col("source"), F.col("doc_id"), F.col("t"), "arrived")
+        found = stream_findings(units, RULES, arrival="arrived", delay="30 minutes")
+        write_stream(found, f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/findings").groupBy(
+        "repository", "file_path", "line_number", "finding_type", "secret_sha256").agg(F.count("*").alias("times"))
+
+
+def history_dump_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan of histories as text, a log with patches for each repository."""
+    folder = _folder(spark, "log")
+    inputs.history_dump(spark, sf, folder)
+    return scan(*read_history(spark, folder), RULES).select(
+        "repository", "commit_hash", "commit_rank", "file_path", "line_number", "snippet", "finding_type",
+        "confidence", "author", "date", "secret_sha256")
+
+
+def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of a stream of documents after three batches, from the counts of each; a third of the documents arrives twice."""
+    folder = _folder(spark, "summary-stream")
+    rows = inputs.planted(spark, sf).select("doc_id", "source", "t")
+    for which in ("doc_id % 3 = 0", "doc_id % 3 < 2", "doc_id % 3 = 2"):
+        rows.where(which).write.mode("append").parquet(f"{folder}/texts")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/texts")
+        units = diff.text_units(stream, F.col("source"), F.col("doc_id"), F.col("t"))
+        found = counted.first_findings(match.regex_findings(units, RULES))
+        counted.write_summary_stream(found, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return counted.stream_summary(spark, f"{folder}/counts")
+
+
+def large_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of one file per source, indented as their writer does, read in splits."""
+    folder = _folder(spark, "large-reports")
+    inputs.indented_reports(spark, sf, folder)
+    return read_large_reports(spark, folder).select(
+        "repository", "commit_ord", "commit_hash", "finding_ord", "file_path", "line_number",
+        "snippet", "finding_type", "confidence", "rationale", "author", "date")
+
+
+def published_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings in the JSON reports of a scan that were published at once, read back by their manifest."""
+    path = publish_documents(report.report_document(_saved_scan(spark, sf)), _folder(spark, "published"))
+    return read_published(spark, path).select(
+        "repository", "commit_hash", "file_path", "line_number", "snippet", "finding_type", "confidence", "rationale",
+        "author", "date", "is_uncommitted")
+
+
+def lasting_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan with answers from a cache that was extended twice by the same answers and compacted."""
+    rules = RULES.add(TOKEN_RULE)
+    cache = AnswerCache(spark, _folder(spark, "cache"), 16)
+    for _ in range(2):
+        cache.extend(_cache(spark, sf, rules))
+    cache.compact()
+    return scan_texts(inputs.document_units(spark, sf), rules, line_flagger("token = ", "api_key"),
+                      cache=cache.table()).select(*FINDING)
+
+
+def model_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by source that nothing is known of, as no task had a model."""
+    return model_run(inputs.document_units(spark, sf), RULES, absent_in(line_flagger("token = ", "api_key"), "all"), MODEL).failures
+
+
+def model_half_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks by source, all of them told about: answered, or failed as the model was not there in every second task."""
+    units = inputs.document_units(spark, sf)
+    run = model_run(units, RULES, absent_in(line_flagger("token = ", "api_key"), "odd"), MODEL, in_flight=4)
+    told = _document_chunks(spark, sf).select("repository", "cache_key").join(run.answers, "cache_key")
+    return told.groupBy("repository").agg(F.count("*").alias("chunks"), F.count_if(
+        F.col("error").isNull() | (F.col("error") == "ProviderUnavailable: is_available() says no")).alias("told"))
+
+
 ALL = [
+    stream_summary, large_report, published_report, lasting_cache, model_absent, model_half_absent,
+    table_rule_hits, many_rule_values, stream_repository_scan, stream_event_dedup, history_dump_scan,
     rule_hits, rule_hit_values, custom_rule_token, raw_text_hits, findings_lines, findings_scored,
     findings_redacted, findings_nested, findings_dedup, finding_rules, document_findings,
     by_source, finding_types, report_json, report_flatten, sarif_of_reports, sarif_two_reports, sarif_rules, sarif_results, sarif_json,

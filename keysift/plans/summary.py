@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keysift import schemas
 from keysift.operators.diff import date_string
 from keysift.operators.rules import RuleSet
+from keysift.session import cut_lineage
 
 
 def counts_by_repository(findings: DataFrame) -> DataFrame:
@@ -49,12 +50,14 @@ def uncommitted(findings: DataFrame) -> DataFrame:
 
 
 def with_commit_details(findings: DataFrame, commits: DataFrame) -> DataFrame:
-    """Author and date of each finding's commit; null for uncommitted ones. A commit with very
-    many findings is split by Spark's skew join."""
+    """Author and date of each finding's commit; null for uncommitted ones.
+
+    The commits, each once, are written first: Spark splits a commit with very many findings in a join with a
+    table, not in one with an aggregate over the same key."""
     details = commits.select("repository", "commit_hash", "author",
                              date_string(F.col("commit_date")).alias("date"))
     once = details.groupBy("repository", "commit_hash").agg(F.min(F.struct("author", "date")).alias("_d"))
-    once = once.select("repository", "commit_hash", "_d.author", "_d.date")
+    once = cut_lineage(once.select("repository", "commit_hash", "_d.author", "_d.date"))
     return findings.drop("author", "date").join(once, ["repository", "commit_hash"], "left").select(*findings.columns)
 
 
