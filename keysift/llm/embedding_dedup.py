@@ -130,7 +130,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     and ``kept`` (the id is the component's). Equal vectors are compared once and counted as often as
     they occur. Vectors that are null, empty or zero, or hold null or non-finite components, link with
     nothing, as do vectors of other lengths; rows with a null id are left alone. Ids should be unique
-    integers; rows of equal id and vector count as rows. An empty table gives an empty one.
+    integers; rows of equal id count as rows, each linked by its own vector. An empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
@@ -141,15 +141,19 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         "v", F.transform("v", lambda x: x / F.col("top"))).withColumn("norm", F.sqrt(square)).select(
         "id", F.transform("v", lambda x: x / F.col("norm") + 0.0).alias("unit"))
     member = cut(scaled.withColumn("copy", F.sha2(F.concat_ws(",", F.transform("unit", lambda x: x.cast("string"))), 256)), "units")
-    items = cut(member.groupBy("copy").agg(F.min("id").alias("item"), F.min("unit").alias("unit"), F.count("*").alias("copies")), "vectors")
+    # an item's number is fixed when it is written; ids may repeat
+    items = cut(member.groupBy("copy").agg(F.min("id").alias("low"), F.min("unit").alias("unit"), F.count("*").alias("copies")).withColumn(
+        "item", F.monotonically_increasing_id()), "vectors")
     found = cut(links(items.select("item", "unit"), cosine, recall), "links")
     both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = items.select(F.col("item").alias("b"), "copies")
     linked = both.join(sizes, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    of_item = items.select("copy", "item", "copies").join(linked.withColumnRenamed("a", "item"), "item", "left").join(
-        components(found).withColumnRenamed("node", "item"), "item", "left").select(
+    joined = cut(components(found).withColumnRenamed("node", "item").join(items.select("item", "low"), "item"), "classes")
+    lowest = cut(joined.groupBy("component").agg(F.min("low").alias("lowest")), "lowest")
+    of_item = items.select("copy", "item", "copies", "low").join(linked.withColumnRenamed("a", "item"), "item", "left").join(
+        joined.drop("low").join(lowest, "component"), "item", "left").select(
         "copy", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "item").alias("component"))
+        F.coalesce("lowest", "low").alias("component"))
     known = member.select("id", "copy").join(of_item, "copy").select("id", "n_links", "component")
     alone = rows.where(~F.coalesce(usable & (largest > 0), F.lit(False))).select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))

@@ -94,8 +94,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 next(signed)) if len(s) else (0, 0, 0, None) for s in sets]
         n, one, two, sign = zip(*out)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-             pa.array(sign, pa.list_(pa.int32()))], ["id", "n_shingles", "one", "two", "signature"])
+            [batch.column("id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+             pa.array(sign, pa.list_(pa.int32()))], ["id", "text_key", "n_shingles", "one", "two", "signature"])
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -208,27 +208,32 @@ def _confirmed(percent: int):
     return work
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR, keys: bool = False) -> DataFrame:
     """The near-duplicate class of each document.
 
     Words are separated by ASCII white space, A-Z in lower case. Columns: ``id_col``,
     ``n_shingles`` (distinct; a text of fewer than SHINGLE words is one shingle), ``component_id``
     (the smallest id reachable by links) and ``kept`` (the id is the component's). Two documents
-    link if they share at least ``percent`` of their shingles' union. One row per row; rows of
-    equal id fall together (ids should be unique: of their texts one is compared), null and empty texts link with nothing, rows with a
+    link if they share at least ``percent`` of their shingles' union. One row per row: rows of
+    equal id are documents of their own, each linked by its own text. Null and empty texts link with nothing, rows with a
     null id are left alone (component null, kept), and an empty table gives an empty one.
     Ids must be integers; other columns are not read.
+
+    With ``keys`` also ``text_key``, a hash of the text, and ``class_key``, which the documents of one class share and of
+    different classes do not, whatever their ids; null for a document that links with nothing.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     matches = least_matches(percent)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     signed = cut(texts.mapInArrow(
-        _signed, "id long, n_shingles long, one long, two long, signature array<int>"), "signatures")
-    # equal sets are one item, named by the smallest id
+        _signed, "id long, text_key long, n_shingles long, one long, two long, signature array<int>"), "signatures")
+    # equal sets are one item; its number is fixed when it is written
     item = cut(signed.where("n_shingles > 0 and id is not null").groupBy("one", "two", "n_shingles").agg(
-        F.min("id").alias("item"), F.min_by("signature", "id").alias("signature")), "items")
-    signed_items = item.groupBy("item").agg(F.min("signature").alias("signature"))
+        F.min(F.struct("id", "text_key")).alias("first"), F.min_by("signature", "id").alias("signature")).withColumn(
+        "item", F.monotonically_increasing_id()), "items")
+    signed_items = item.select("item", "signature")
     pairs = signed_items.select("item", F.posexplode("signature")).select("item", F.xxhash64("pos", "col").alias("pair"))
     entry = F.struct("n", "pair")
     rarest = F.expr(f"slice(array_sort(pairs), 1, size(pairs) - {matches - 1})")
@@ -243,14 +248,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
     near = cut(components(met.mapInArrow(listed, "a long, b long")), "candidates")
     # the texts of sets that may be near another, each once unless its group is large; groups are counted without texts
-    alone = texts.join(sized(near, "component").withColumnRenamed("node", "id"), "id").groupBy(
-        F.col("id").alias("item"), "component", "n").agg(F.min("text").alias("text"))
+    wanted = cut(sized(near, "component").withColumnRenamed("node", "item").join(
+        item.select("item", "first.id", "first.text_key"), "item"), "wanted")
+    alone = texts.join(wanted, ["id", "text_key"]).groupBy("item", "component", "n").agg(F.min("text").alias("text"))
     compared = meetings(alone, "item", SET_BLOCK).repartition(n, "component", "i", "j").sortWithinPartitions(
         "component", "i", "j").select("component", "i", "j", "side", "item", "text")
-    linked = components(compared.mapInArrow(_confirmed(percent), "a long, b long"))
-    of_item = item.join(linked.withColumnRenamed("node", "item"), "item", "left").select(
-        "one", "two", "n_shingles", F.coalesce("component", "item").alias("component"))
-    return signed.join(of_item, ["one", "two", "n_shingles"], "left").select(
+    linked = cut(components(compared.mapInArrow(_confirmed(percent), "a long, b long")).withColumnRenamed("node", "item").join(
+        item.select("item", "first.id"), "item"), "linked")
+    lowest = cut(linked.groupBy("component").agg(F.min("id").alias("low")), "lowest")
+    of_item = item.join(linked.drop("id").join(lowest, "component"), "item", "left").select(
+        "one", "two", "n_shingles", F.coalesce("low", "first.id").alias("low"), F.coalesce("component", "item").alias("class_key"))
+    found = signed.join(of_item, ["one", "two", "n_shingles"], "left").select(
         F.col("id").alias(id_col), "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        F.when(F.col("id").isNotNull(), F.coalesce("low", "id")).alias("component_id"), "text_key",
+        F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("class_key")).alias("class_key"))
+    found = found.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
+    return found if keys else found.drop("text_key", "class_key")
