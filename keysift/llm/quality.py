@@ -26,36 +26,47 @@ _SYMBOLS = b"#*$%&|<>"
 class Bands:
     """Limits of compressed size over size (zstandard, ``level``).
 
-    ``whole``: rows (bytes below which the row holds, lowest, highest ratio); the first that
-    fits counts. ``chunk``: the same for each full chunk of ``chunk_bytes``; a text is
-    rejected when more than ``bad_share`` of its full chunks lie outside. Texts below
-    ``least_bytes`` are not judged by ratio.
+    ``limits``: rows (bytes below which the row holds, lowest, highest ratio); the first that fits counts. A text is
+    judged as a whole, and by its pieces: chunks of ``chunk_bytes``, the rest a piece of its own, or part of the last chunk
+    if it has fewer than ``rest_bytes``. Whole texts and pieces have the limits of their length, every byte is in one piece, and
+    a text is rejected when at least ``bad_share`` of its bytes are in pieces outside. Texts below ``least_bytes``, where
+    ratios say nothing, are judged by the counts alone.
     """
 
     level: int = 3
-    least_bytes: int = 128
-    whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.42, 1.05), (512, 0.40, 0.95), (1024, 0.37, 0.88), (2048, 0.33, 0.82), (4096, 0.30, 0.78),
+    least_bytes: int = 64
+    limits: tuple[tuple[float, float, float], ...] = (
+        (128, 0.45, 1.15), (256, 0.42, 1.05), (512, 0.40, 0.95), (1024, 0.37, 0.88), (2048, 0.33, 0.82), (4096, 0.30, 0.78),
         (8192, 0.28, 0.76), (16384, 0.26, 0.75), (65536, 0.24, 0.75), (float("inf"), 0.20, 0.75))
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.28, 0.78)
-    bad_share: float = 0.5
+    rest_bytes: int = 512
+    bad_share: float = 0.25
+
+    def outside(self, text: bytes | memoryview, compressor: zstandard.ZstdCompressor) -> tuple[float, str]:
+        """The ratio of a text or piece, and "" or which limit it breaks."""
+        n = len(text)
+        ratio = len(compressor.compress(text)) / n
+        low, high = next((a, b) for below, a, b in self.limits if n < below)
+        return ratio, "repetitive" if ratio < low else "incompressible" if ratio > high else ""
+
+    def pieces(self, n: int) -> list[tuple[int, int]]:
+        """Where the pieces of a text of n bytes begin and end."""
+        cuts = list(range(0, n, self.chunk_bytes))
+        if len(cuts) > 1 and n - cuts[-1] < self.rest_bytes:
+            cuts.pop()
+        return list(zip(cuts, [*cuts[1:], n]))
 
     def verdict(self, text: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, str]:
-        """The whole text's ratio, the number of bad chunks, and "" or why it is rejected."""
+        """The whole text's ratio, the number of bad pieces, and "" or why it is rejected."""
         n = len(text)
         if n < self.least_bytes:
             return None, 0, ""
-        ratio = len(compressor.compress(text)) / n
-        low, high = next((a, b) for below, a, b in self.whole if n < below)
-        bad, chunks = 0, n // self.chunk_bytes
-        if chunks > 1:
-            for i in range(chunks):
-                part = text[i * self.chunk_bytes:(i + 1) * self.chunk_bytes]
-                bad += not self.chunk[0] <= len(compressor.compress(part)) / self.chunk_bytes <= self.chunk[1]
-        why = ("repetitive" if ratio < low else "incompressible" if ratio > high
-               else "bad chunks" if bad > self.bad_share * chunks else "")
-        return ratio, bad, why
+        ratio, why = self.outside(text, compressor)
+        pieces, view = self.pieces(n), memoryview(text)
+        if len(pieces) == 1:
+            return ratio, int(why != ""), why
+        bad = [b - a for a, b in pieces if self.outside(view[a:b], compressor)[1]]
+        return ratio, len(bad), why or ("bad chunks" if sum(bad) >= self.bad_share * n else "")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -97,14 +108,14 @@ def judge(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_
 
     Columns: ``id_col``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed`` (fewer than 20 words, or more than 30 % of the words in
-    repeated windows), ``ratio`` (null below ``least_bytes``), ``n_bad_chunks``, ``reason`` and
-    ``kept``. A null or empty text has no words, hence fails. Other columns are not read;
-    equal rows give equal results. Nothing is shuffled.
+    repeated windows), ``ratio`` (null below ``least_bytes``), ``n_bad_chunks`` (pieces outside), ``reason`` and
+    ``kept``. A null or empty text has no words, hence fails. Other columns are not read, whatever their names;
+    equal rows give equal results, and an empty table gives an empty one. Nothing is shuffled. A text is worked on as a
+    whole by one task, in memory of some fifteen times its size.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = (f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    schema = (f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "base_failed boolean, ratio double, n_bad_chunks long, reason string, kept boolean")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         lambda batches: _judged(batches, bands), schema)
     return rows.withColumnRenamed("id", id_col)
 
