@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from keysift.llm.common import BUFFER, SPACES, cut, slices
 
-#: Most labelled rows that models are fitted on, most words they look at, and folds.
-SAMPLE, WORDS, FOLDS = 12_000, 400, 4
+#: Most labelled documents that models are fitted on, and folds.
+SAMPLE, FOLDS = 12_000, 4
 #: Words must be in so many labelled documents, and their shares in the two classes of a category must
 #: differ by so many standard errors.
 LEAST_DOCUMENTS, LEAST_ERRORS = 5, 4.0
@@ -59,27 +59,56 @@ class Chain:
     def __post_init__(self):
         self.number = {w: i for i, w in enumerate(self.words)}
 
-    def score(self, text: bytes) -> list[float]:
-        """The probability of each category."""
-        found = [self.number[w] for w in words_in(text) if w in self.number]
-        out: list[float] = []
-        n = len(self.words)
-        for link in self.links:
-            z = link.bias + float(link.weights[found].sum()) + sum(w * p for w, p in zip(link.weights[n:], out))
-            out.append(float(chance(z)))
+    def score(self, texts: Sequence[bytes]) -> np.ndarray:
+        """The probability of each category, a row per text."""
+        rows = Rows.of([[self.number[w] for w in words_in(t) if w in self.number] for t in texts], len(self.words))
+        out = np.zeros((len(texts), len(self.links)))
+        for i, link in enumerate(self.links):
+            out[:, i] = chance(rows.times(link.weights[:len(self.words)]) + out[:, :i] @ link.weights[len(self.words):] + link.bias)
         return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, decay: float = 0.002) -> np.ndarray:
-    """Logistic weights and bias, both classes of equal weight, by gradient steps with momentum; a
-    weight's steps are scaled by how often its column is on."""
-    n, m = x.shape
-    weight = np.where(y > 0, n / (2 * max(1.0, y.sum())), n / (2 * max(1.0, n - y.sum()))).astype(np.float32)
-    scale = np.append(x.mean(axis=0) + 0.01, 1.0)
-    w, speed = np.zeros(m + 1), np.zeros(m + 1)
+@dataclass
+class Rows:
+    """Which words each row has: the words of all rows one after the other, and the row of each."""
+
+    words: np.ndarray
+    owner: np.ndarray
+    n: int
+    width: int
+
+    @staticmethod
+    def of(rows: Sequence[Sequence[int]], width: int) -> Rows:
+        sizes = [len(r) for r in rows]
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)])
+        return Rows(flat, np.repeat(np.arange(len(rows)), sizes), len(rows), width)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each row's words."""
+        return np.bincount(self.owner, weights[self.words], self.n)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the values of the rows that have each word."""
+        return np.bincount(self.words, values[self.owner], self.width)
+
+    def only(self, use: np.ndarray) -> Rows:
+        """The rows that are used."""
+        place = np.cumsum(use) - 1
+        mine = use[self.owner]
+        return Rows(self.words[mine], place[self.owner[mine]], int(use.sum()), self.width)
+
+
+def fit_logistic(rows: Rows, more: np.ndarray, y: np.ndarray, rounds: int = 200, decay: float = 0.002) -> np.ndarray:
+    """Logistic weights of words and of ``more`` columns, and a bias, both classes of equal weight, by gradient steps with
+    momentum; a weight's steps are scaled by how often its column is on."""
+    n = len(y)
+    weight = np.where(y > 0, n / (2 * max(1.0, y.sum())), n / (2 * max(1.0, n - y.sum())))
+    scale = np.concatenate([rows.back(np.ones(n)) / n + 0.01, more.mean(axis=0) + 0.01, [1.0]])
+    m = rows.width
+    w, speed = np.zeros(len(scale)), np.zeros(len(scale))
     for _ in range(rounds):
-        error = (chance(x @ w[:-1].astype(np.float32) + w[-1]) - y).astype(np.float32) * weight
-        step = np.append(error @ x, error.sum()) / n
+        error = (chance(rows.times(w[:m]) + more @ w[m:-1] + w[-1]) - y) * weight
+        step = np.concatenate([rows.back(error), error @ more, [error.sum()]]) / n
         step[:-1] += decay * w[:-1]
         speed = 0.9 * speed - 0.3 * step / scale
         w = w + speed
@@ -90,26 +119,28 @@ def chance(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_chain(rows: Sequence[Sequence[int]], labels: dict[str, np.ndarray], fold: np.ndarray, words: list[bytes]) -> Chain:
-    """Fits the chain; ``labels`` has a 0/1 array per category, in the chain's order. A category
-    without examples of both kinds gets probability 0 and is never stated."""
-    x = np.zeros((len(rows), len(words)), np.float32)
-    x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.asarray(r, np.int64) for r in rows])] = 1
+def train_chain(found: Sequence[Sequence[int]], labels: dict[str, np.ndarray], fold: np.ndarray, words: list[bytes]) -> Chain:
+    """Fits the chain; ``labels`` has an array per category, in the chain's order, of 0, 1, and NaN where it is not known: a
+    category is learnt from the rows that have it. One without examples of both kinds gets probability 0 and is never stated."""
+    rows = Rows.of(found, len(words))
+    earlier = np.zeros((rows.n, 0))
     links, quality = [], {}
     for name, y in labels.items():
         y = y.astype(float)
-        if not 0 < y.sum() < len(y):
-            links.append(Link(name, np.zeros(x.shape[1]), -30.0, 1.0))
-            unseen, quality[name] = np.zeros(len(y)), (0.0, 0.0, 0.0)
+        known = ~np.isnan(y)
+        unseen = np.zeros(rows.n)
+        if not 0 < y[known].sum() < known.sum():
+            links.append(Link(name, np.zeros(len(words) + earlier.shape[1]), -30.0, 1.0))
+            quality[name] = (0.0, 0.0, 0.0)
         else:
-            unseen = np.zeros(len(y))
             for k in np.unique(fold):
-                w = fit_logistic(x[fold != k], y[fold != k])
-                unseen[fold == k] = chance(x[fold == k] @ w[:-1] + w[-1])
-            threshold, quality[name] = best_threshold(unseen, y)
-            w = fit_logistic(x, y)
+                use, rest = known & (fold != k), fold == k
+                w = fit_logistic(rows.only(use), earlier[use], y[use])
+                unseen[rest] = chance(rows.only(rest).times(w[:len(words)]) + earlier[rest] @ w[len(words):-1] + w[-1])
+            threshold, quality[name] = best_threshold(unseen[known], y[known])
+            w = fit_logistic(rows.only(known), earlier[known], y[known])
             links.append(Link(name, w[:-1], float(w[-1]), threshold))
-        x = np.column_stack([x, unseen.astype(np.float32)])
+        earlier = np.column_stack([earlier, unseen])
     return Chain(words, links, quality)
 
 
@@ -128,40 +159,41 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text",
-        sample: int = SAMPLE, n_words: int = WORDS) -> Chain:
+        sample: int = SAMPLE) -> Chain:
     """Fits a chain on a sample of labelled documents: the ``sample`` ids of least hash, or all if there are
-    fewer. Rows with a null id or label are left out.
+    fewer. An id counts once, with the least of its texts and the larger of each of its labels. Rows with a null id or
+    text are left out, as are those with no label at all; a document without one of the labels is learnt from for the others.
 
-    ``labels`` has ``id_col`` and a 0/1 column per category, in the chain's order. The words are those whose
-    share of the documents differs most surely between the classes of a category. What
-    comes to the driver is bounded by the parameters: word counts of ``n_words`` words, and per
-    sampled row the numbers of those it has.
+    ``labels`` has ``id_col`` and a 0/1 column per category, in the chain's order. The words are all those whose
+    share of the documents differs by LEAST_ERRORS standard errors or more between the classes of a category. What
+    comes to the driver is bounded by ``sample``: a word is in LEAST_DOCUMENTS sampled rows at least, and
+    per sampled row come the numbers of the words it has.
     """
     spark = docs.sparkSession
-    known = labels.dropna(subset=[id_col, *categories]).groupBy(id_col).agg(
-        *(F.max(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c) for c in categories))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    # at most ``sample`` rows of an id and the labels are sent to every task; the texts are not shuffled
-    rows = cut(texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").mapInArrow(
-        _distinct_words, _words_schema(len(categories))), "labelled")
-    total = rows.agg(F.count("*").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories)))).first()
-    if not total["n"]:
+    kinds = [f"c{i}" for i in range(len(categories))]
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(F.col(f"`{c}`").alias(k) for c, k in zip(categories, kinds)))
+    known = known.where("id is not null").groupBy("id").agg(*(
+        F.max(F.when(F.col(k) > 0, 1).when(F.col(k).isNotNull(), 0)).alias(k) for k in kinds)).where(F.coalesce(*kinds).isNotNull())
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    # the ids and labels, ``sample`` at most, are sent to every task; of the texts only those of the sample are shuffled
+    once = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), *(F.first(k).alias(k) for k in kinds))
+    rows = cut(once.mapInArrow(_distinct_words, _words_schema(len(categories))), "labelled")
+    total = rows.agg(*(F.count(k).alias(f"n_{k}") for k in kinds), *(F.sum(k).alias(k) for k in kinds)).first()
+    if not any(total[f"n_{k}"] for k in kinds):
         return Chain([], [Link(c, np.zeros(i), -30.0, 1.0) for i, c in enumerate(categories)], {})
-    counts = cut(rows.select(F.explode("words").alias("word"), *(f"c{i}" for i in range(len(categories)))).groupBy("word").agg(
-        F.count("*").alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories)))).where(
-        F.col("n") >= LEAST_DOCUMENTS), "words")
-    chosen_words: set[bytes] = set()
-    for i in range(len(categories)):
-        yes = float(total[f"c{i}"] or 0)
-        no = float(total["n"] - yes)
+    counts = cut(rows.select(F.explode("words").alias("word"), *kinds).groupBy("word").agg(
+        *(F.count(k).alias(f"n_{k}") for k in kinds), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).where(
+        F.greatest(*(F.col(f"n_{k}") for k in kinds), F.lit(0)) >= LEAST_DOCUMENTS), "words")
+    apart = F.lit(False)
+    for k in kinds:
+        yes = float(total[k] or 0)
+        no = float(total[f"n_{k}"] - yes)
         if yes and no:
-            share = F.col("n") / float(total["n"])
+            share = F.col(f"n_{k}") / (yes + no)
             error = F.sqrt(share * (1 - share) * (1 / yes + 1 / no) + 1e-12)
-            apart = F.abs(F.col(f"c{i}") / yes - (F.col("n") - F.col(f"c{i}")) / no) / error
-            best = counts.where(apart >= LEAST_ERRORS).orderBy(F.desc(apart), "word").limit(n_words // len(categories))
-            chosen_words |= {bytes(r.word) for r in best.select("word").collect()}
-    words = sorted(chosen_words)
+            apart = apart | (F.abs(F.col(k) / yes - (F.col(f"n_{k}") - F.col(k)) / no) / error >= LEAST_ERRORS)
+    words = sorted(bytes(r.word) for r in counts.where(apart).select("word").collect())
     number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
 
     got = rows.mapInArrow(numbered, _words_schema(len(categories)).replace("words array<binary>", "found array<int>")).orderBy("id").collect()
     fold = np.arange(len(got)) % FOLDS
-    return train_chain([r.found for r in got], {c: np.array([r[f"c{i}"] for r in got]) for i, c in enumerate(categories)}, fold, words)
+    return train_chain([r.found for r in got], {
+        c: np.array([np.nan if r[k] is None else r[k] for r in got]) for c, k in zip(categories, kinds)}, fold, words)
 
 
 def _words_schema(n: int) -> str:
@@ -188,11 +221,11 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ["id", "words", *(f"c{i}" for i in range(n))])
 
 
-def score_texts(chain: Chain, texts: list[bytes | None]) -> tuple[list[list[float]], list[bool]]:
-    """The probabilities of each text, and whether the last category is stated."""
-    p = [chain.score(t or b"") for t in texts]
+def score_texts(chain: Chain, texts: list[bytes | None]) -> tuple[np.ndarray, list[bool]]:
+    """The probabilities of each text, a row each, and whether the last category is stated."""
+    p = chain.score([t or b"" for t in texts])
     last = chain.links[-1].threshold
-    return p, [x[-1] >= last and last < 1 for x in p]
+    return p, [bool(x) for x in (p[:, -1] >= last) & (last < 1)]
 
 
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +234,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     Columns: ``id_col``, ``p_<category>`` for each, ``rejected`` (the last category is stated) and ``kept``, its
     opposite. A null or empty text has no words and is kept; other columns are not read; equal
     texts get equal results; an empty table gives an empty one. The chain is sent to the tasks
-    (bounded by its words); nothing is shuffled.
+    (its words are bounded by the sample); nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -211,10 +244,10 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
         for b in slices(batches, "text", BUFFER):
             p, bad = score_texts(sent.value, b.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *(pa.array([x[i] for x in p], pa.float64()) for i in range(len(names))),
+                [b.column("id"), *(pa.array(p[:, i]) for i in range(len(names))),
                  pa.array(bad, pa.bool_()), pa.array([not x for x in bad], pa.bool_())],
                 ["id", *(f"p{i}" for i in range(len(names))), "rejected", "kept"])
 
     schema = f"id {id_type}, " + "".join(f"p{i} double, " for i in range(len(names))) + "rejected boolean, kept boolean"
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(work, schema)
     return out.toDF(id_col, *names, "rejected", "kept")
