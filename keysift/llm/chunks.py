@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keysift.llm.common import partitions
 
@@ -34,6 +35,11 @@ def deal(docs: DataFrame, id_col: str, text_col: str, n: int | None = None) -> D
     ).repartition(n, "chunk")
 
 
+def answered(dealt: DataFrame, columns: str) -> StructType:
+    """``id`` and ``row`` of the documents, as they are, and further columns."""
+    return StructType([StructField("id", LongType()), dealt.schema["row"], *StructType.fromDDL(columns).fields])
+
+
 def letters(bucket: np.ndarray, records: np.ndarray, chunk: int, turn: int, n: int) -> pa.RecordBatch:
     """One row per bucket with the records that go there."""
     order = np.argsort(bucket, kind="stable")
@@ -83,6 +89,7 @@ def resolve(sent: DataFrame, turn: int, kind: np.dtype,
     return sent.repartition(n, "bucket").mapInArrow(work, LETTERS)
 
 
-def reply(dealt: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def reply(dealt: DataFrame, replies: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table],
+          schema: StructType | str) -> DataFrame:
     """Each chunk's documents with all answers to it."""
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(work, schema)

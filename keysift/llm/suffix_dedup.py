@@ -295,6 +295,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     parsed = chunks.resolve(dealt.mapInArrow(_parse(n), LETTERS), 1, ENTRY, sort_parse)
     asked = chunks.reply(dealt, parsed, _strings(n), LETTERS)
     found = chunks.resolve(asked, 2, PRINT, sort_strings)
-    kinds = dict(dealt.dtypes)
     return chunks.reply(dealt, parsed.unionAll(found), lambda docs, replies: _cut(docs, replies, whole_text),
-                        f"id long, row {kinds['row']}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+                        chunks.answered(dealt, "n_bytes long, n_removed long, n_spans long, kept binary, kept_text string"))

@@ -331,5 +331,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = chunks.resolve(dealt.mapInArrow(_minimisers(n), LETTERS), 1, SEEN, functools.partial(sort_minimisers, most=HEAVY))
     packed = chunks.reply(dealt, shared, _packed(n), LETTERS)
     counted = packed.repartition(n, "bucket").mapInArrow(_counted, LETTERS)
-    kinds = dict(dealt.dtypes)
-    return chunks.reply(dealt, counted, _cut, f"id long, row {kinds['row']}, n_words long, n_removed long, kept string")
+    return chunks.reply(dealt, counted, _cut, chunks.answered(dealt, "n_words long, n_removed long, kept string"))

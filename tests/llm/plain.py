@@ -97,3 +97,95 @@ def quality_counts(text):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def band_verdict(text):
+    """Whether compression ratios accept a text: whole, and by every piece."""
+    import zstandard
+
+    raw = (text or "").encode()
+    if len(raw) < 64:
+        return True
+
+    def fine(part):
+        ratio = len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+        lowest, highest = [0.45, 0.42, 0.40, 0.37, 0.33, 0.30, 0.28, 0.26, 0.24, 0.20], [1.15, 1.05, 0.95, 0.88, 0.82, 0.78, 0.76, 0.75, 0.75, 0.75]
+        row = sum(len(part) >= limit for limit in (128, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536))
+        return lowest[row] <= ratio <= highest[row]
+
+    pieces = []
+    while len(raw) - sum(map(len, pieces)) >= 4096 + 512:
+        at = sum(map(len, pieces))
+        pieces.append(raw[at:at + 4096])
+    pieces.append(raw[sum(map(len, pieces)):])
+    return fine(raw) and 4 * sum(len(p) for p in pieces if not fine(p)) < len(raw)
+
+
+def quality_keeps(text):
+    return not quality_counts(text)[-1] and band_verdict(text)
+
+
+def toxicity_chain(texts, labels, categories):
+    """{id: probabilities} and {id: rejected} of a chain fitted on {id: {category: 0, 1 or None}}, with dense matrices."""
+    import numpy as np
+
+    def words_of(text):
+        found = {w.strip(b".,;:!?\"'()[]{}- \t\n\x0b\x0c\r") for w in text.encode().lower().split()} - {b""}
+        for n in (4, 5):
+            found |= {w[:n] + b"*" for w in found if len(w) > n + 1}
+        return found
+
+    ids = sorted(i for i in labels if texts.get(i) is not None and any(v is not None for v in labels[i].values()))
+    found = {i: words_of(texts[i]) for i in ids}
+    chosen = set()
+    for c in categories:
+        have = [i for i in ids if labels[i][c] is not None]
+        yes, no = [i for i in have if labels[i][c]], [i for i in have if not labels[i][c]]
+        if not yes or not no:
+            continue
+        counts, of_yes = Counter(w for i in have for w in found[i]), Counter(w for i in yes for w in found[i])
+        for w, n in counts.items():
+            if max(sum(w in found[i] for i in ids if labels[i][k] is not None) for k in categories) >= 5:
+                share = n / len(have)
+                error = (share * (1 - share) * (1 / len(yes) + 1 / len(no)) + 1e-12) ** 0.5
+                if abs(of_yes[w] / len(yes) - (n - of_yes[w]) / len(no)) / error >= 4:
+                    chosen.add(w)
+    words = sorted(chosen)
+    matrix = lambda sets: np.array([[float(w in s) for w in words] for s in sets]).reshape(len(sets), len(words))
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def logistic(x, y):
+        weight = np.where(y > 0, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))
+        x1 = np.column_stack([x, np.ones(len(y))])
+        scale = np.append(x.mean(axis=0) + 0.01, 1.0)
+        w, speed = np.zeros(x1.shape[1]), np.zeros(x1.shape[1])
+        for _ in range(200):
+            step = x1.T @ ((chance(x1 @ w) - y) * weight) / len(y) + np.append(0.002 * w[:-1], 0)
+            speed = 0.9 * speed - 0.3 * step / scale
+            w = w + speed
+        return w
+
+    x, every = matrix([found[i] for i in ids]), matrix([words_of(t or "") for t in texts.values()])
+    fold = np.arange(len(ids)) % 4
+    threshold = 1.0
+    for c in categories:
+        y = np.array([np.nan if labels[i][c] is None else labels[i][c] for i in ids], float)
+        known, unseen = ~np.isnan(y), np.zeros(len(ids))
+        if len(set(y[known])) < 2:
+            p, threshold = np.full(len(every), chance(-30.0)), 1.0
+        else:
+            for k in range(4):
+                w = logistic(x[known & (fold != k)], y[known & (fold != k)])
+                unseen[fold == k] = chance(x[fold == k] @ w[:-1] + w[-1])
+            w = logistic(x[known], y[known])
+            p = chance(every @ w[:-1] + w[-1])
+            tried = []
+            for t in sorted(set(unseen[known]), reverse=True):
+                hit = unseen[known] >= t
+                precision, recall = y[known][hit].mean(), y[known][hit].sum() / y[known].sum()
+                below = [u for u in unseen[known] if u < t]
+                tried.append((1.25 * precision * recall / max(0.25 * precision + recall, 1e-9), t, (t + max(below, default=0.0)) / 2))
+            threshold = max(tried, key=lambda r: (r[0], r[1]))[2]
+        x, every = np.column_stack([x, unseen]), np.column_stack([every, p])
+    out = every[:, len(words):]
+    return {i: row for i, row in zip(texts, out)}, {i: bool(row[-1] >= threshold and threshold < 1) for i, row in zip(texts, out)}

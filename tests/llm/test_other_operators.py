@@ -58,6 +58,14 @@ def test_vectors(spark):
     assert embedding_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    """An id that stands for different vectors: each links by itself."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (9, [0.0, 0.0, 1.0])]
+    found = embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [
+        (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(4)
@@ -161,7 +169,8 @@ def test_chain_uses_earlier_categories():
     rows = [[0] if h else [1] for h in hint]
     chain = toxicity.train_chain(rows, {"first": first.astype(int), "second": second.astype(int)}, np.arange(n) % 4, [b"yes", b"no"])
     assert len(chain.links[1].weights) == 3 and chain.links[1].weights[2] > 0
-    assert chain.score(b"yes")[1] > 0.5 > chain.score(b"no")[1]
+    yes, no = chain.score([b"yes", b"no"])[:, 1]
+    assert yes > 0.5 > no
     assert min(chain.quality["second"]) > 0.85
 
 
@@ -189,9 +198,35 @@ def test_toxicity_hard_rows(spark):
 
 
 def test_toxicity_query(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    """The chain by dense matrices gives the same."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: {"quality": r.quality, "toxic": r.toxic} for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     found = op2_toxicity(spark, SF)
-    assert found.columns == ["doc_id", "p_quality", "p_toxic", "rejected", "kept"] and found.count() == docs.count()
+    assert found.columns == ["doc_id", "p_quality", "p_toxic", "rejected", "kept"] and found.count() == len(texts)
+    check_chain(found, texts, labels)
+
+
+def check_chain(found, texts, labels):
+    p, rejected = plain.toxicity_chain(texts, labels, ["quality", "toxic"])
+    for r in found.collect():
+        assert np.allclose([r.p_quality, r.p_toxic], p[r.doc_id], atol=1e-6) and r.rejected == rejected[r.doc_id]
+
+
+def test_chain_of_partly_known_labels(spark):
+    """Labels that are null, ids that repeat, and no bound but the documents."""
+    rng = random.Random(3)
+    texts, labels = {}, {}
+    for i in range(300):
+        bad, toxic = rng.random() < 0.4, rng.random() < 0.3
+        words = ["junk"] * bad + ["idiot", "Idiot!"][:rng.randrange(1, 3)] * toxic + rng.choices(["the", "of", "fine", "day", "night"], k=6)
+        texts[i] = " ".join(rng.sample(words, len(words)))
+        labels[i] = {"quality": rng.choice([int(not bad), int(not bad), None]), "toxic": rng.choice([int(toxic), None])}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(0, texts[0] + " zz")] * 40 + [(None, "idiot")], "doc_id long, text string")
+    table = spark.createDataFrame([(i, v["quality"], v["toxic"]) for i, v in labels.items()] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, table, ["quality", "toxic"])
+    check_chain(toxicity.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), chain), texts, labels)
+    # the sample bounds the documents, not the rows
+    assert toxicity.fit(docs.where("doc_id = 0"), table, ["quality", "toxic"], sample=2).words == []
 
 
 # --- licences

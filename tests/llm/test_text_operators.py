@@ -145,6 +145,48 @@ def test_near_duplicates_query(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op7_minhash(spark, SF).collect()} == want
 
 
+def test_near_duplicates_of_one_id(spark):
+    """An id that stands for different texts: each links by itself."""
+    a, b = prose(71, 60), prose(72, 60)
+    rows = [(5, a), (5, b), (9, b + " end"), (6, prose(73, 60)), (5, a)]
+    found = minhash.classes(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [
+        (5, 5, True), (5, 5, True), (5, 5, True), (6, 6, True), (9, 5, False)]
+
+
+def test_band_verdicts(spark):
+    """Every byte is judged, whatever the length: the verdict against a plain one."""
+    r = random.Random(6)
+    noise = lambda n: "".join(chr(r.randrange(33, 127)) + (" " if k % 9 == 0 else "") for k in range(n))[:n]
+    same = lambda n: ("the same words again " * (n // 20 + 1))[:n]
+    texts = [prose(80 + k, n)[:b] for k, (n, b) in enumerate([(12, 60), (30, 120), (50, 250), (200, 1000), (900, 4607), (900, 4608), (3000, 12000)])]
+    texts += [texts[-1][:8192] + noise(4090), texts[-1][:4096] + noise(4091), noise(300) + texts[-1][:9000], texts[-1][:4096] + same(4096),
+              noise(100), noise(63), noise(64), same(70), same(5000), "é" * 3000]
+    judge = quality.Bands()
+    compressor = zstandard.ZstdCompressor(level=3)
+    got = [not judge.verdict(t.encode(), compressor)[2] for t in texts]
+    assert got == [plain.band_verdict(t) for t in texts]
+    assert got[:7] == [True] * 7 and got[7:12] == [False, False, True, False, False]
+    # half of it noise is noticed, with or without a second full chunk
+    assert [x.kept for x in quality.judge(frame(spark, [(1, texts[7]), (2, texts[8])])).collect()] == [False, False]
+
+
+def test_quality_query(spark):
+    found = {r.doc_id: r.kept for r in op6_quality_rules(spark, SF).collect()}
+    assert found == {i: plain.quality_keeps(t) for i, t in documents(spark)} and 0 < sum(found.values()) < len(found)
+
+
+def test_columns_of_any_name(spark):
+    """Names with dots, of types, of what operators add, and maps: they come through as they are."""
+    rows = [(1, prose(90, 120), "x", 1, {"a": 1}), (2, prose(90, 120), "y", 2, {}), (3, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `meta.lang` string, `row` int, `a map` map<string,int>")
+    for found, kept in ((suffix_dedup.dedup(docs), "n_removed"), (superkmer.dedup(docs), "n_removed")):
+        got = {r["row"]["doc_id"]: r for r in found.collect()}
+        assert got[1]["row"]["meta.lang"] == "x" and got[2]["row"]["row"] == 2 and got[1]["row"]["a map"] == {"a": 1}
+        assert got[2][kept] > 0 and got[3][kept] == 0
+    assert len(minhash.classes(docs).collect()) == len(quality.judge(docs).collect()) == 3
+
+
 def test_quality_counts(spark):
     rows = hard_rows() + [(500, "x #*$%&|<> y\nx\nx\n\n\nx "), (501, "word " * 30), (502, prose(60, 25))]
     found = quality.judge(frame(spark, rows)).collect()
