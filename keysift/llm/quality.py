@@ -36,8 +36,8 @@ class Bands:
     level: int = 3
     least_bytes: int = 64
     limits: tuple[tuple[float, float, float], ...] = (
-        (128, 0.45, 1.15), (256, 0.42, 1.05), (512, 0.40, 0.95), (1024, 0.37, 0.88), (2048, 0.33, 0.82), (4096, 0.30, 0.78),
-        (8192, 0.28, 0.76), (16384, 0.26, 0.75), (65536, 0.24, 0.75), (float("inf"), 0.20, 0.75))
+        (128, 0.45, 1.15), (256, 0.42, 1.05), (512, 0.40, 0.93), (1024, 0.37, 0.85), (2048, 0.33, 0.78), (4096, 0.30, 0.72),
+        (8192, 0.28, 0.70), (16384, 0.26, 0.70), (65536, 0.24, 0.70), (float("inf"), 0.20, 0.70))
     chunk_bytes: int = 4096
     rest_bytes: int = 512
     bad_share: float = 0.25

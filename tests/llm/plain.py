@@ -109,7 +109,7 @@ def band_verdict(text):
 
     def fine(part):
         ratio = len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
-        lowest, highest = [0.45, 0.42, 0.40, 0.37, 0.33, 0.30, 0.28, 0.26, 0.24, 0.20], [1.15, 1.05, 0.95, 0.88, 0.82, 0.78, 0.76, 0.75, 0.75, 0.75]
+        lowest, highest = [0.45, 0.42, 0.40, 0.37, 0.33, 0.30, 0.28, 0.26, 0.24, 0.20], [1.15, 1.05, 0.93, 0.85, 0.78, 0.72, 0.70, 0.70, 0.70, 0.70]
         row = sum(len(part) >= limit for limit in (128, 256, 512, 1024, 2048, 4096, 8192, 16384, 65536))
         return lowest[row] <= ratio <= highest[row]
 
