@@ -30,6 +30,7 @@ from keysift.llm.common import (
     BUFFER, MULTIPLIERS, Rolling, bytes_of, cut, group_starts, mix, pairs_in_groups, partitions, slices, whole_groups,
     words_of)
 from keysift.llm.graph import components, meetings, sized
+from keysift.operators.joins import may_match
 
 SHINGLE = 5
 COORDINATES = 32
@@ -250,7 +251,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     # the texts of sets that may be near another, each once unless its group is large; groups are counted without texts
     wanted = cut(sized(near, "component").withColumnRenamed("node", "item").join(
         item.select("item", "first.id", "first.text_key"), "item"), "wanted")
-    alone = texts.join(wanted, ["id", "text_key"]).groupBy("item", "component", "n").agg(F.min("text").alias("text"))
+    # other texts are dropped where they are read, so only these are shuffled
+    alone = may_match(texts, wanted, ["id", "text_key"]).join(wanted, ["id", "text_key"]).groupBy(
+        "item", "component", "n").agg(F.min("text").alias("text"))
     compared = meetings(alone, "item", SET_BLOCK).repartition(n, "component", "i", "j").sortWithinPartitions(
         "component", "i", "j").select("component", "i", "j", "side", "item", "text")
     linked = cut(components(compared.mapInArrow(_confirmed(percent), "a long, b long")).withColumnRenamed("node", "item").join(
