@@ -104,9 +104,10 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
     agree in id and all else go together). A group ends with bins not yet full; that is less than one
     part in a hundred of its bins.
     """
-    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), source.alias("source"),
-                       cluster.alias("cluster")).where("size > 0")
-    rows = cut(rows, "sizes")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), size.cast("long").alias("size"), source.alias("source"),
+                       cluster.alias("cluster"))
+    # filtered after it is written: before, the sizes would be worked out once more for the filter
+    rows = cut(rows, "sizes").where("size > 0")
     groups = max(1, -(-rows.count() // GROUP))
     spark = docs.sparkSession
     tasks = min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
