@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.llm.common import cut, group_starts, pairs_in_groups, partitions, whole_groups
+from keysift.llm.common import cut, group_starts, partitions, whole_groups
 from keysift.llm.graph import components, meetings, sized
 
 COSINE = 0.9

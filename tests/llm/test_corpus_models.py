@@ -13,7 +13,6 @@ import pytest
 from catalog.check import canonical
 from keysift.llm import lm, phrases, whitening
 from keysift.llm.queries import ORACLE, op11_phrases, op12_whitening, op13_lm
-from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.llm import plain
 
@@ -86,7 +85,7 @@ def test_runs_of_any_limits(monkeypatch):
     """Counting by itself, with limits so small that all of them are reached."""
     import pyarrow as pa
 
-    for name, value in (("BURST", 10), ("LIMIT", 100), ("WORDS", 40), ("PART", 200)):
+    for name, value in (("BURST", 10), ("LIMIT", 100), ("WORDS", 40), ("PART", 200), ("LANGS", 1)):
         monkeypatch.setattr(phrases, name, value)
     monkeypatch.setattr(phrases, "parts", lambda text, gap: plain_parts(text, gap, 200))
     rows = phrase_rows(30, [f"w{i}" for i in range(30)], 8)
