@@ -83,13 +83,26 @@ class Rows:
         flat = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)])
         return Rows(flat, np.repeat(np.arange(len(rows)), sizes), len(rows), width)
 
+    def __post_init__(self):
+        by_word = np.argsort(self.words, kind="stable")
+        self._owner = self.owner[by_word]  # in order of the words
+        self._row_at, self._word_at = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else x
+                                       for x in (self.owner, self.words[by_word]))
+        self._rows, self._words = self.owner[self._row_at], self.words[by_word][self._word_at]
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         """The sum of the weights of each row's words."""
-        return np.bincount(self.owner, weights[self.words], self.n)
+        out = np.zeros(self.n)
+        if len(self.words):
+            out[self._rows] = np.add.reduceat(weights[self.words], self._row_at)
+        return out
 
     def back(self, values: np.ndarray) -> np.ndarray:
         """The sum of the values of the rows that have each word."""
-        return np.bincount(self.words, values[self.owner], self.width)
+        out = np.zeros(self.width)
+        if len(self.words):
+            out[self._words] = np.add.reduceat(values[self._owner], self._word_at)
+        return out
 
     def only(self, use: np.ndarray) -> Rows:
         """The rows that are used."""
