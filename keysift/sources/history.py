@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SEPARATOR = "\ncommit "
 HASH = r"^(?:commit )?([0-9a-f]{7,64})\b"
+# what --source prints after the hash: the ref that led to the commit, here one of a remote
+SOURCE = r"^(?:commit )?[0-9a-f]{7,64}\trefs/remotes/([^/\s]+)/"
 # UNIX_LINES and MULTILINE: ^ and $ at newlines only
 BEFORE_DIFF = r"(?dm)(?=^diff --(?:git|cc|combined) )"
 #: Date formats, after the weekday is taken off; ISO 8601 and seconds since 1970 besides.
@@ -71,6 +73,13 @@ def file_path(diff: Column, prefixes: bool = True) -> Column:
         F.when(combined != "", unquoted(combined)), F.when(both != "", F.regexp_replace(same, "^[a-z]/", "") if prefixes else same))
 
 
+def source_repository() -> Column:
+    """The repository of a record by the ref that ``--source`` prints, ``refs/remotes/<repository>/…``; null without one. For
+    files with the logs of many repositories: a file each would cost more than its text."""
+    name = F.regexp_extract("value", SOURCE, 1)
+    return F.when(name != "", name)
+
+
 def _records(spark: SparkSession, path: str, repository: Column | None) -> DataFrame:
     rows = spark.read.option("lineSep", SEPARATOR).text(path)
     if repository is None:
@@ -84,7 +93,7 @@ def read_history(spark: SparkSession, path: str, repository: Column | None = Non
                  prefixes: bool = True) -> tuple[DataFrame, DataFrame]:
     """The commits and the patches of histories as text: of files, or of folders ``repository=…``.
 
-    ``repository`` is a column over the files (``_metadata``); by default the partition of that name, else the file's name
+    ``repository`` is a column over the files (``_metadata``) or a record's text (``value``, see ``source_repository``); by default the partition of that name, else the file's name
     without its ending. ``prefixes`` tells that paths begin with ``a/`` and ``b/``. A commit that is printed once for each
     parent has a row for each; text before the first commit is left out. Dates are in UTC. A file
     is split between records; one commit's text is one row.
