@@ -2,11 +2,13 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import inputs
 from keysift.sources.history import read_history, source_repository
+from keysift.streaming.history import NewestCommits
 
 
 @pytest.fixture
@@ -37,3 +39,59 @@ def test_a_dump_has_few_files_for_many_repositories(spark, tables, tmp_path):
     want = inputs.patches(spark, tables).where("origin = 'commit'").select(*key)
     assert sorted(map(repr, patches.select(*key).collect())) == sorted(map(repr, want.collect())) and want.count() == 30
     assert commits.where(F.col("repository").isNull()).count() == 1
+
+
+class State:
+    """A value of a state store that counts the calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def __getattr__(self, name):  # any other call of the store, as those of a map's keys
+        raise AssertionError(f"a call for each row: {name}")
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+
+def test_calls_to_the_state_do_not_grow_with_commits():
+    states = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *_: states.append(State()) or states[-1]
+
+    commits = [("commit", f"r{k % 50}", f"{k:04x}", "a", f"2024-01-01 00:00:{k % 60:02d}", "m", None, None, None, k % 3) for k in range(600)]
+    patches = [("patch", c[1], c[2], None, None, None, "commit", "f", "p", c[-1]) for c in commits]
+    columns = [*"kind repository commit_hash author commit_date message origin file_path patch part".split()]
+    operator = NewestCommits(2)
+    operator.init(Handle())
+    out = []
+    for rows in (commits[:300] + patches[300:], commits[300:] + patches[:300]):
+        for frame in operator.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), None):
+            out += list(frame.itertuples(index=False, name=None))
+    assert sum(s.calls for s in states) <= 12
+    through = {r[1:3] for r in out if r[0] == "commit"}
+    groups = {}
+    for c in commits:
+        groups.setdefault((c[1], c[-1]), []).append(c)
+    patched = [r[1:3] for r in out if r[0] == "patch"]
+    # what counts in the end: the newest two of each part, of equal dates the smaller hash, with their patches
+    newest = set()
+    for g in groups.values():
+        newest |= {c[1:3] for c in sorted(sorted(g, key=lambda c: c[2]), key=lambda c: c[4], reverse=True)[:2]}
+    assert newest <= through
+    assert len(patched) == len(set(patched)) and set(patched) <= through and newest <= set(patched)
