@@ -74,13 +74,14 @@ def _finder(key: str, sent: Broadcast) -> Finder:
     return _MADE[key]
 
 
-def _best(groups: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
+def best(groups: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
+    """The group whose shortest literal is the longest."""
     return max(groups, key=lambda g: min(map(len, g)), default=())
 
 
 def candidates(spark: SparkSession, text: Column, rules: RuleSet) -> Column:
     """``array<struct<rule_ord, regex>>``: the rules that may match, all those without a literal among them; null text, none."""
-    rows = [(i, r.java_regex, r.ignores_case, tuple(x.lower() if r.ignores_case else x for x in _best(r.anchors)))
+    rows = [(i, r.java_regex, r.ignores_case, tuple(x.lower() if r.ignores_case else x for x in best(r.anchors)))
             for i, r in rules.scannable()]
     key = hashlib.sha256(repr(rows).encode()).hexdigest()
     sent = spark.sparkContext.broadcast(rows)  # as large as the rule set, which is bounded

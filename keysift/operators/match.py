@@ -11,6 +11,7 @@ from keysift import schemas
 from keysift.functions import levels
 from keysift.functions.text import LINES, match_lines, newlines
 from keysift.operators.automaton import candidates
+from keysift.operators.rule_tables import RuleTable, find_filed
 from keysift.operators.rules import FOLDING_LETTERS, Rule, RuleSet
 
 #: Rules that are literals of one expression; the literals of more are one automaton.
@@ -33,7 +34,7 @@ def _anchored(rule: Rule, group: tuple[str, ...], text: Column) -> Column:
     return _contains_any(text, group)
 
 
-def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
+def find_matches(units: DataFrame, rules: RuleSet | RuleTable, text: str = "text") -> DataFrame:
     """One row per unit and rule with a match: the unit's columns, ``rule_ord`` and
     ``matches``, all matches in order.
 
@@ -44,6 +45,8 @@ def find_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
     optimizer would run the regexes twice, and a generated method for all rules would
     be too long for the JVM to compile.
     """
+    if isinstance(rules, RuleTable):
+        return _find_in_table(units, rules, text)
     scannable = rules.scannable()
     if not scannable:
         return units.select("*", F.lit(0).alias("rule_ord"),
@@ -96,7 +99,18 @@ def _find_candidates(units: DataFrame, rules: RuleSet, text: str) -> DataFrame:
             .select(*units.columns, "_hit.rule_ord", "_hit.matches"))
 
 
-def match_values(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
+def _find_in_table(units: DataFrame, rules: RuleTable, text: str) -> DataFrame:
+    """``find_matches`` by a table of any size: its rules with a filed literal by a join, the others on every text."""
+    found = [f for f in (find_filed(units, rules, text), find_matches(units, rules.rest, text) if rules.rest else None) if f is not None]
+    return reduce(DataFrame.unionByName, found) if found else find_matches(units, RuleSet([]), text)
+
+
+def _looked_up(told: DataFrame, rules: RuleSet | RuleTable) -> DataFrame:
+    """The rules' side of a join: a set is bounded and broadcast, a table is not."""
+    return told if isinstance(rules, RuleTable) else F.broadcast(told)
+
+
+def match_values(units: DataFrame, rules: RuleSet | RuleTable, text: str = "text") -> DataFrame:
     """One row per match, without lines: the unit's columns but the text, the rule's
     name, ``match_no`` (from 0) and ``match``."""
     keep = [c for c in units.columns if c not in (text, "line_nos")]
@@ -104,7 +118,7 @@ def match_values(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFr
     return (find_matches(units, rules, text)
             .select(*keep, "rule_ord", F.posexplode("matches").alias("match_no", "match"))
             .where(F.col("match") != "")
-            .join(F.broadcast(names), "rule_ord")
+            .join(_looked_up(names, rules), "rule_ord")
             .select(*keep, "rule_ord", "rule", "match_no", "match"))
 
 
@@ -115,7 +129,7 @@ def count_by_rule(units: DataFrame, rules: RuleSet, text: str = "text") -> DataF
             .select("rule_ord", F.size(F.array_remove("matches", "")).alias("n"))
             .groupBy("rule_ord").agg(F.sum("n").alias("hits"))
             .where("hits > 0")
-            .join(F.broadcast(names), "rule_ord")
+            .join(_looked_up(names, rules), "rule_ord")
             .select("rule", "hits"))
 
 
@@ -126,7 +140,7 @@ def type_counts(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFra
     return (find_matches(units.select("repository", text), rules, text)
             .select("repository", "rule_ord", F.size(F.array_remove("matches", "")).cast("long").alias("n"))
             .groupBy("repository", "rule_ord").agg(F.sum("n").alias("n")).where("n > 0")
-            .join(F.broadcast(names), "rule_ord")
+            .join(_looked_up(names, rules), "rule_ord")
             .groupBy("repository", "finding_type").agg(F.sum("n").alias("findings")))
 
 
@@ -140,7 +154,7 @@ def locate_matches(units: DataFrame, rules: RuleSet, text: str = "text") -> Data
     breaks = F.exists("matches", lambda m: m.contains("\n"))
     last = match_lines(t, regex, None, F.col("keywords"), at_end=True)
     found = find_matches(units, rules, text).join(
-        F.broadcast(rules.lookup(units.sparkSession)), "rule_ord")
+        _looked_up(rules.lookup(units.sparkSession), rules), "rule_ord")
     placed = found.select(
         *keep, "rule_ord", "name", "keywords", "description", "confidence_boost",
         F.explode(F.arrays_zip(

@@ -231,20 +231,25 @@ class RuleSet:
         Null keywords are none, a null description is empty, a null boost is zero. Raises TypeError when
         a column is missing or of another type, ValueError for a null name or number, or too many rules.
         """
-        have = {f.name: f.dataType for f in df.schema.fields}
-        for field in schemas.RULES.fields:
-            got = have.get(field.name)
-            if got is None or got.typeName() != field.dataType.typeName():
-                raise TypeError(f"rules column {field.name}: expected {field.dataType}, got {got}")
+        RuleSet.check_columns(df)
         rows = df.select(*schemas.RULES.names).orderBy("rule_ord").limit(most + 1).collect()
         if any(r.name is None or r.rule_ord is None for r in rows):
             raise ValueError("a rule needs a name and a rule_ord")
         return RuleSet([
             Rule(r.name, r.regex, tuple(k for k in r.keywords or () if k is not None), r.description or "",
-                 r.confidence_boost or Decimal("0.0"), *_hints(r.name, r.regex))
+                 r.confidence_boost or Decimal("0.0"), *builtin_hints(r.name, r.regex))
             for r in rows
         ], [r.rule_ord for r in rows], most)
 
+    @staticmethod
+    def check_columns(df: DataFrame) -> None:
+        """Raises TypeError unless the table has the rules schema's columns."""
+        have = {f.name: f.dataType for f in df.schema.fields}
+        for field in schemas.RULES.fields:
+            got = have.get(field.name)
+            if got is None or got.typeName() != field.dataType.typeName():
+                raise TypeError(f"rules column {field.name}: expected {field.dataType}, got {got}")
+
 
 def _check_regexes(rules: tuple[Rule, ...]) -> None:
     """Raises ValueError for a regex that Spark can't compile; built-in ones are known to be right.
@@ -281,7 +286,7 @@ def java_dialect(regex: Column) -> Column:
     return F.concat(F.lit("(?d)"), F.regexp_replace(regex, r"^\(\?i\)", "(?iu)"))
 
 
-def _hints(name: str, regex: str | None) -> tuple:
+def builtin_hints(name: str, regex: str | None) -> tuple:
     """Anchors and probe of a built-in rule, if this is one unchanged."""
     known = any((name, regex) == row[:2] for row in BUILT_IN)
     return (ANCHORS[name], PROBES.get(name)) if known else (None, None)
@@ -289,6 +294,6 @@ def _hints(name: str, regex: str | None) -> tuple:
 
 def default_rules() -> RuleSet:
     return RuleSet([
-        Rule(name, regex, tuple(keywords), description, Decimal(boost), *_hints(name, regex))
+        Rule(name, regex, tuple(keywords), description, Decimal(boost), *builtin_hints(name, regex))
         for name, regex, keywords, description, boost in BUILT_IN
     ])

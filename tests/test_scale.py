@@ -1,12 +1,20 @@
 """Work and files that follow the rows, not the number of repositories or rules."""
 
 import os
+import random
+from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import inputs
+from keysift import schemas
+from keysift.operators import rule_tables
+from keysift.operators.match import match_values
+from keysift.operators.rule_tables import RuleTable
+from keysift.operators.rules import RuleSet
 from keysift.sources.history import read_history, source_repository
 from keysift.streaming.history import NewestCommits
 
@@ -95,3 +103,54 @@ def test_calls_to_the_state_do_not_grow_with_commits():
         newest |= {c[1:3] for c in sorted(sorted(g, key=lambda c: c[2]), key=lambda c: c[4], reverse=True)[:2]}
     assert newest <= through
     assert len(patched) == len(set(patched)) and set(patched) <= through and newest <= set(patched)
+
+
+def rule_rows(spark, regexes):
+    rows = [(3 * i + 5, f"n{i % 7}", r, ["token"], "d", Decimal("0.1")) for i, r in enumerate(regexes)]
+    return spark.createDataFrame(rows, schemas.RULES)
+
+
+def test_a_rule_table_finds_what_a_rule_set_finds(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("skIé01") for _ in range(rng.randrange(3, 14))) for _ in range(150)]
+    regexes = [("(?i)" if i % 2 else "") + w + "[0-9]*" for i, w in enumerate(words)]
+    regexes += ["(?i)(passwordsk|secretkeys|passwordis)=[a-z]+", "(longliteral1|longliteral2)x?", "[0-9]{6}", "", None, "(?:abcdefgh|q)1"]
+    table = rule_rows(spark, regexes)
+    odd = {"s": "\u017f", "k": "\u212a", "i": "\u0130", "I": "\u0131"}
+    texts = [None, "", "longliteral2x longliteral1 longliteral2", "PASSWORDSK=a secretkeys=b pa\u017fswordi\u017f=c", "q1 abcdefgh1 123456",
+             "longlit", "eral1x"]
+    for w in words:
+        v = "".join(odd.get(c, c) if rng.random() < 0.2 else c.upper() if rng.random() < 0.3 else c for c in w)
+        texts += [f"{w}7 {v} {w}", "\n".join(rng.sample(words, 5)), v]
+    texts.append("x" * 3000 + words[0] + "é" * 4000 + words[1])
+    units = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got, want = (sorted(map(tuple, match_values(units, r).collect())) for r in (RuleTable(table), RuleSet.from_df(table)))
+    assert got == want and len(want) > 400
+    assert len(RuleTable(table).rest) < 110 < len(regexes)
+
+
+def test_a_rule_table_has_no_limit_but_for_rules_tried_on_every_text(spark):
+    many = rule_rows(spark, [f"literal{k:05d}x[0-9]" for k in range(300)])
+    texts = spark.createDataFrame([(1, "literal00123x4 literal00299x5")], "doc_id int, text string")
+    assert sorted(r.match for r in match_values(texts, RuleTable(many, most=10)).collect()) == ["literal00123x4", "literal00299x5"]
+    with pytest.raises(ValueError, match="at most"):
+        RuleTable(rule_rows(spark, ["[0-9]{3}"] * 11), most=10)
+    with pytest.raises(ValueError, match="of its own"):
+        RuleTable(many.unionAll(many))
+    with pytest.raises(ValueError, match="a name"):
+        RuleTable(many.withColumn("name", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="no regex"):
+        RuleTable(rule_rows(spark, ["longliteral(", "fine"]))
+    with pytest.raises(TypeError):
+        RuleTable(many.drop("regex"))
+
+
+def test_windows_of_texts_longer_than_a_stretch(monkeypatch):
+    monkeypatch.setattr(rule_tables, "STRETCH", 16)
+    want = rule_tables.filed_under("abcdefgh", False)
+    bits = np.zeros(1 << 12, np.uint8)
+    for at in (want & 0x7FFF, (want % 2 ** 64 >> 32) & 0x7FFF):
+        bits[at >> 3] |= 1 << (at & 7)
+    for before in range(40):
+        text = "." * before + "abcdefgh" + "." * 9
+        assert [list(f) for f in rule_tables.Filed(bits, False, True).of([text, None, "abcd", "efgh", text])] == [[want], [], [], [], [want]]
