@@ -10,11 +10,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import inputs
+from catalog.clients import line_flagger
 from keysift import schemas
-from keysift.operators import rule_tables
+from keysift.llm import lm
+from keysift.llm.queries import op13_lm
+from keysift.operators import inference, rule_tables
 from keysift.operators.match import match_values
+from keysift.operators.prompts import ModelOptions
 from keysift.operators.rule_tables import RuleTable
-from keysift.operators.rules import RuleSet
+from keysift.operators.rules import RuleSet, default_rules
 from keysift.sources.history import read_history, source_repository
 from keysift.streaming.history import NewestCommits
 
@@ -154,3 +158,17 @@ def test_windows_of_texts_longer_than_a_stretch(monkeypatch):
     for before in range(40):
         text = "." * before + "abcdefgh" + "." * 9
         assert [list(f) for f in rule_tables.Filed(bits, False, True).of([text, None, "abcd", "efgh", text])] == [[want], [], [], [], [want]]
+
+
+def test_op13_learns_five_words_and_files_single_ones_as_keys(spark, tables, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(60))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{tables}/documents.parquet")
+    made, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    assert op13_lm(spark, tables).count() == 60
+    (model,) = made
+    assert model.order == len(model.files) == 5
+    files = [f for f in model.files[4] if f[0]]
+    size, grams = sum(os.path.getsize(f[0]) for f in files), sum(f[1] for f in files)
+    assert grams > 2000 and size < 20 * grams + 32 * len(files)
