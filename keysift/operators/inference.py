@@ -160,6 +160,8 @@ def answers_for(chunks: DataFrame, rules: RuleSet, client_factory: ClientFactory
     distinct = distinct_chunks(chunks)
     if client_factory is None:
         return cut_lineage(known_answers(distinct, cache))
+    if cache is not None:  # needed twice, and the texts are gone through for it
+        distinct = cut_lineage(distinct)
     new = distinct if cache is None else cut_lineage(not_cached(distinct, cache))
     asked = ask_again(new, chunks, rules, client_factory, model, tasks, in_flight, turns)
     return asked if cache is None else asked.unionByName(cut_lineage(known_answers(distinct, cache)))

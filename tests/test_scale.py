@@ -172,3 +172,17 @@ def test_op13_learns_five_words_and_files_single_ones_as_keys(spark, tables, mon
     files = [f for f in model.files[4] if f[0]]
     size, grams = sum(os.path.getsize(f[0]) for f in files), sum(f[1] for f in files)
     assert grams > 2000 and size < 20 * grams + 32 * len(files)
+
+
+def test_answers_with_a_cache_find_their_keys_once(spark, units, monkeypatch):
+    """The texts are gone through once for the keys, which are needed twice, and once for the contents that are asked about."""
+    rules, model, cut, known = default_rules(), ModelOptions(), [], []
+    real, looked_up = inference.cut_lineage, inference.known_answers
+    monkeypatch.setattr(inference, "cut_lineage", lambda df: cut.append(df.columns) or real(df))
+    monkeypatch.setattr(inference, "known_answers", lambda d, c: known.append(d) or looked_up(d, c))
+    chunks = inference.keyed_contents(units(*[f"text {k}" for k in range(40)]), rules, model)
+    cache = spark.createDataFrame([(r.cache_key, "[]") for r in chunks.limit(10).collect()], schemas.RESPONSES)
+    answers = inference.answers_for(chunks, rules, line_flagger("text 1", "x"), cache, model)
+    assert answers.count() == 40 and answers.where("response = '[]'").count() >= 10
+    assert cut.count(["cache_key", "copies"]) == 2  # all keys, and the new ones
+    assert "content" not in known[0]._jdf.queryExecution().analyzed().toString()
