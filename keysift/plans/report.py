@@ -69,7 +69,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema("value string, repository string").option("wholetext", True).format("text").load(path).select(
         F.col("repository").alias("_folder"), F.col("_metadata.file_name").alias("_file"),
         F.split("value", "\n").alias("_lines"))
-    lines = files.select("_folder", "_file", F.posexplode("_lines").alias("_at", "_line"))
+    return flatten_lines(files.select("_folder", "_file", F.posexplode("_lines").alias("_at", "_line")), path)
+
+
+def flatten_lines(lines: DataFrame, path: str) -> DataFrame:
+    """The findings in reports by the lines of their files: ``_folder`` (the repository), ``_file``, ``_at`` and ``_line``."""
     key = F.regexp_extract("_line", r'^,?("(?:[^"\\]|\\.)*"):\[$', 1)
     here = W.partitionBy("_folder", "_file").orderBy("_at")
     told = lines.withColumn("_key", F.when(key != "", key)).where(

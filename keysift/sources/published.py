@@ -15,7 +15,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,10 +24,14 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from keysift.plans.documents import ORDER
-from keysift.plans.report import read_documents
+from keysift.plans.report import flatten_lines
 
 FORMAT = "keysift_documents"
 MANIFEST = "manifest.json"
+#: The folder of reports without a repository, as Spark names it.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+#: Rows and characters of a batch that is read.
+ROWS, CHARS = 10_000, 1 << 23
 
 
 def _local(path: str) -> str:
@@ -40,7 +44,7 @@ def _local(path: str) -> str:
 def folder_name(repository: str | None) -> str:
     """``repository=…`` as Spark reads it back."""
     if repository is None:
-        return "repository=__HIVE_DEFAULT_PARTITION__"
+        return f"repository={NO_NAME}"
     return "repository=" + re.sub(r"[^A-Za-z0-9_.\- \u0080-\U0010ffff]", lambda m: f"%{ord(m[0]):02X}", repository)
 
 
@@ -128,9 +132,58 @@ def published_folder(spark: SparkSession, path: str) -> str:
     return f"{path}/{json.loads(told.value)['folder']}"
 
 
+def _listed(folder: str):
+    """Lists the repositories' folders below those of the writer's tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("task").to_pylist():
+                names = sorted(os.listdir(f"{folder}/{task}"))
+                for at in range(0, len(names), ROWS):
+                    part = names[at:at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([task] * len(part)), pa.array(part)], ["task", "name"])
+
+    return work
+
+
+def _lines(folder: str):
+    """The lines of the part files in repositories' folders."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("_folder", pa.string()), ("_file", pa.string()), ("_at", pa.int32()), ("_line", pa.string())])
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for task, name in zip(batch.column("task").to_pylist(), batch.column("name").to_pylist()):
+                value = name.removeprefix("repository=")
+                repository = None if value == NO_NAME else unquote(value)
+                for file in sorted(f for f in os.listdir(f"{folder}/{task}/{name}") if f.endswith(".txt")):
+                    with open(f"{folder}/{task}/{name}/{file}", encoding="utf-8", newline="\n") as f:
+                        for at, line in enumerate(f):
+                            rows.append((repository, file, at, line.removesuffix("\n")))
+                            size += len(line)
+                            if len(rows) >= ROWS or size >= CHARS:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+    return work
+
+
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The findings of published reports, as ``read_documents`` gives them."""
-    return read_documents(spark, published_folder(spark, path))
+    """The findings of published reports, as ``read_documents`` gives them.
+
+    Tasks list the folders and open the files, which are small if there are many repositories: Spark's own reader
+    would list them all on the driver and plan a task for a few of them each.
+    """
+    published = published_folder(spark, path)
+    folder = _local(published)
+    tasks = spark.createDataFrame([(t,) for t in sorted(os.listdir(folder)) if t.startswith("task=")], "task string")
+    count = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    names = tasks.repartition(count, "task").mapInArrow(_listed(folder), "task string, name string")
+    return flatten_lines(names.repartition(count, "task", "name").mapInArrow(
+        _lines(folder), "_folder string, _file string, _at int, _line string"), published)
 
 
 def remove_unpublished(spark: SparkSession, path: str) -> None:

@@ -19,7 +19,10 @@ from keysift.operators.match import match_values
 from keysift.operators.prompts import ModelOptions
 from keysift.operators.rule_tables import RuleTable
 from keysift.operators.rules import RuleSet, default_rules
+from keysift.plans.report import report_document
+from keysift.plans.scan import scan_texts
 from keysift.sources.history import read_history, source_repository
+from keysift.sources.published import publish_documents, read_published
 from keysift.streaming.history import NewestCommits
 
 
@@ -186,3 +189,14 @@ def test_answers_with_a_cache_find_their_keys_once(spark, units, monkeypatch):
     assert answers.count() == 40 and answers.where("response = '[]'").count() >= 10
     assert cut.count(["cache_key", "copies"]) == 2  # all keys, and the new ones
     assert "content" not in known[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_published_files_are_read_without_a_task_for_a_few_of_them(spark, units, tmp_path):
+    """Many repositories' small files: Spark neither lists them on the driver nor plans them as splits."""
+    found = scan_texts(units("password = 'abcdefgh12'", "AKIA" + "A" * 16), default_rules()).cache()
+    many = found.drop("repository").crossJoin(spark.range(40).select(F.concat(F.lit("r/é "), "id").alias("repository"))).select(found.columns)
+    path = publish_documents(report_document(many), str(tmp_path / "out"))
+    rows = read_published(spark, path)
+    columns = ["repository", "commit_hash", "file_path", "line_number", "snippet", "finding_type"]
+    assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, many.select(*columns).collect()))
+    assert rows.inputFiles() == [] and rows.count() == 80
