@@ -200,3 +200,18 @@ def test_published_files_are_read_without_a_task_for_a_few_of_them(spark, units,
     columns = ["repository", "commit_hash", "file_path", "line_number", "snippet", "finding_type"]
     assert sorted(map(tuple, rows.select(*columns).collect())) == sorted(map(tuple, many.select(*columns).collect()))
     assert rows.inputFiles() == [] and rows.count() == 80
+
+
+def test_op13_model_has_each_longest_n_gram_once_and_few_letters(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(300))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        model = lm.fit(docs, folder=str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    grams = sum(f[1] for f in model.files[4])
+    assert grams > 40_000 and sum(f.stat().st_size for f in tmp_path.rglob("*")) < 30 * grams
+    assert model.shards == 16 and len(model.files[0]) == 4
