@@ -11,7 +11,7 @@ from keysift import schemas
 from keysift.functions import levels
 from keysift.functions.text import LINES, match_lines, newlines
 from keysift.operators.automaton import candidates
-from keysift.operators.rule_tables import RuleTable, find_filed
+from keysift.operators.rule_tables import RuleTable, find_filed, spread_by_number
 from keysift.operators.rules import FOLDING_LETTERS, Rule, RuleSet
 
 #: Rules that are literals of one expression; the literals of more are one automaton.
@@ -101,6 +101,7 @@ def _find_candidates(units: DataFrame, rules: RuleSet, text: str) -> DataFrame:
 
 def _find_in_table(units: DataFrame, rules: RuleTable, text: str) -> DataFrame:
     """``find_matches`` by a table of any size: its rules with a filed literal by a join, the others on every text."""
+    units = spread_by_number(units)
     found = [f for f in (find_filed(units, rules, text), find_matches(units, rules.rest, text) if rules.rest else None) if f is not None]
     return reduce(DataFrame.unionByName, found) if found else find_matches(units, RuleSet([]), text)
 
@@ -122,10 +123,15 @@ def match_values(units: DataFrame, rules: RuleSet | RuleTable, text: str = "text
             .select(*keep, "rule_ord", "rule", "match_no", "match"))
 
 
-def count_by_rule(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
-    """Matches per rule; the text never leaves the scan's stage."""
+def _needed(units: DataFrame, rules: RuleSet | RuleTable, *columns: str) -> DataFrame:
+    """A table deals the units to tasks by all their columns, so that copies of a text do not meet in one."""
+    return units if isinstance(rules, RuleTable) else units.select(*columns)
+
+
+def count_by_rule(units: DataFrame, rules: RuleSet | RuleTable, text: str = "text") -> DataFrame:
+    """Matches per rule; the text never leaves the scan's stage, but for a table's."""
     names = rules.to_df(units.sparkSession).select("rule_ord", F.col("name").alias("rule"))
-    return (find_matches(units.select(text), rules, text)
+    return (find_matches(_needed(units, rules, text), rules, text)
             .select("rule_ord", F.size(F.array_remove("matches", "")).alias("n"))
             .groupBy("rule_ord").agg(F.sum("n").alias("hits"))
             .where("hits > 0")
@@ -133,11 +139,11 @@ def count_by_rule(units: DataFrame, rules: RuleSet, text: str = "text") -> DataF
             .select("rule", "hits"))
 
 
-def type_counts(units: DataFrame, rules: RuleSet, text: str = "text") -> DataFrame:
+def type_counts(units: DataFrame, rules: RuleSet | RuleTable, text: str = "text") -> DataFrame:
     """``repository, finding_type, findings``: the matches of each rule, counted without
     their lines or values."""
     names = rules.to_df(units.sparkSession).select("rule_ord", F.col("name").alias("finding_type"))
-    return (find_matches(units.select("repository", text), rules, text)
+    return (find_matches(_needed(units, rules, "repository", text), rules, text)
             .select("repository", "rule_ord", F.size(F.array_remove("matches", "")).cast("long").alias("n"))
             .groupBy("repository", "rule_ord").agg(F.sum("n").alias("n")).where("n > 0")
             .join(_looked_up(names, rules), "rule_ord")

@@ -1,18 +1,21 @@
 """Rule tables of any size: rules and literals stay a table, and texts meet them by a join.
 
 A literal of eight bytes or more is filed under its first eight. Each text tells which of its windows of eight bytes may be
-filed, by a bitmap of bounded size that is broadcast, and only those windows are joined with the literals; a rule's
-regex then runs on the texts that it met. Rules without such a literal have to be tried on every text anyway: they
-are a RuleSet, which refuses more than ``most`` of them.
+filed, by bitmaps of bounded size that are broadcast. Only those windows, with a number for the text, are joined with the
+literals, and the regexes that a text met are sent to it, so a text moves once, however many windows it has. Only where many
+rules share a window do texts go to the rules, once for each window. Rules without such a literal have to be tried on every
+text anyway: they are a RuleSet, which refuses more than ``most`` of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift import schemas
@@ -22,8 +25,12 @@ from keysift.session import cut_lineage
 
 #: Bytes of a literal that it is filed under.
 WINDOW = 8
-#: Bits of the bitmap for each literal, and at most: 32 MB.
-BITS_EACH, BITS = 32, 1 << 28
+#: Bits of a bitmap for each literal, and at most: 32 MB. Where fewer than LEAST_EACH are left, there are more bitmaps.
+BITS_EACH, LEAST_EACH, BITS = 32, 16, 1 << 28
+#: Bits that a window sets.
+PLACES = 3
+#: Rules of one window whose regexes go to the texts; where there are more, the texts go to the rules.
+SHARED = 64
 #: The ASCII letters that FOLDING_LETTERS are taken for.
 FOLDED = "skii"
 _FOLDS = str.maketrans(FOLDING_LETTERS, FOLDED)
@@ -53,10 +60,10 @@ def filed_under(literal: str, folds: bool) -> int:
 
 
 class Filed:
-    """The windows that may be filed: two bits each of a bitmap."""
+    """The windows that may be filed: ``places`` bits each of a bitmap."""
 
-    def __init__(self, bits: np.ndarray, folds: bool, exact: bool):
-        self.bits, self.kinds = bits, [k for k, used in ((False, exact), (True, folds)) if used]
+    def __init__(self, bits: np.ndarray, folds: bool, exact: bool, places: int = 2):
+        self.bits, self.kinds, self.places = bits, [k for k, used in ((False, exact), (True, folds)) if used], places
         self.mask = np.uint64(len(bits) * 8 - 1)
 
     def _has(self, at: np.ndarray) -> np.ndarray:
@@ -82,7 +89,8 @@ class Filed:
         for start in range(0, len(data), STRETCH):  # a long text by itself
             h = _windows(data[start:start + STRETCH + WINDOW - 1], folds)
             at = np.flatnonzero(self._has(h & self.mask))
-            at = at[self._has((h[at] >> np.uint64(32)) & self.mask)]
+            for i in range(self.places - 1):
+                at = at[self._has(((h[at] >> np.uint64(32)) + np.uint64(i) * (h[at] & self.mask)) & self.mask)]
             text = np.searchsorted(ends, at + start, "right")
             whole = at + start + WINDOW <= ends[np.minimum(text, len(ends) - 1)]  # not over the end of a text
             at, text = at[whole], text[whole]
@@ -154,47 +162,92 @@ class RuleTable:
         """The rules with the regex the scan runs."""
         return self.to_df().withColumn("regex", java_dialect(F.col("regex")))
 
-    def bitmap(self) -> Filed | None:
-        """The filed windows of all literals; None without any."""
-        told = self.filed.groupBy("folds").agg(F.count("*")).collect()
-        count = sum(r[1] for r in told)
-        if not count:
-            return None
-        size = min(BITS, max(1 << 15, 1 << (count * BITS_EACH - 1).bit_length()))
-        place = F.explode(F.array(F.col("_window"), F.shiftrightunsigned("_window", 32)))
-        places = self.filed.select(place.alias("_p")).select((F.col("_p").bitwiseAND(F.lit(size - 1)) + 1).alias("_p"))
-        bits = np.zeros(size // 8, np.uint8)
-        for r in places.groupBy(F.bitmap_bucket_number("_p").alias("bucket")).agg(
-                F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bits")).toLocalIterator():
-            start = (r["bucket"] - 1) * 4096
-            bits[start:start + 4096] = np.frombuffer(r["bits"], np.uint8)
-        kinds = {r[0] for r in told}
-        return Filed(bits, True in kinds, False in kinds)
 
+def _bitmap(filed: DataFrame, size: int, folds: bool, exact: bool) -> Filed:
+    low, high = F.col("_window").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("_window", 32)
+    places = F.explode(F.array(low, *[high + i * low for i in range(PLACES - 1)]))
+    places = filed.select(places.alias("_p")).select((F.col("_p").bitwiseAND(F.lit(size - 1)) + 1).alias("_p"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in places.groupBy(F.bitmap_bucket_number("_p").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bits")).toLocalIterator():
+        start = (r["bucket"] - 1) * 4096
+        bits[start:start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return Filed(bits, folds, exact, PLACES)
 
-def find_filed(units: DataFrame, table: RuleTable, text: str) -> DataFrame | None:
-    """``find_matches`` for the rules with a literal that is filed; None if there are none.
 
-    A text goes to the join once for each of its windows that may be filed. A rule with several
-    literals looks at a text for the first of them that it has, so it does so once.
-    """
-    bitmap = table.bitmap()
-    if bitmap is None:
-        return None
-    sent = table.spark.sparkContext.broadcast(bitmap)
+def _parts(filed: DataFrame) -> Iterator[tuple[DataFrame, Filed]]:
+    """The literals and the bitmap of their windows, in as many parts as leave LEAST_EACH bits to a literal."""
+    count, folds, exact = filed.agg(F.count("*"), F.bool_or("folds"), F.bool_or(~F.col("folds"))).first()
+    parts = -(-count * LEAST_EACH // BITS)
+    size = min(BITS, max(1 << 15, 1 << (count * BITS_EACH - 1).bit_length()))
+    for k in range(parts):
+        part = filed.where(F.pmod(F.xxhash64("_window"), F.lit(parts)) == k) if parts > 1 else filed
+        yield part, _bitmap(part, size, folds, exact)
+
 
+def _windows_in(sent: Broadcast, text: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def windows(texts: pa.Array) -> pa.Array:
         found = sent.value.of(texts.to_pylist())
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
+    return windows(text)
+
+
+def _met(units: DataFrame, filed: DataFrame, text: str, *keep: Column | str) -> DataFrame:
+    """``keep`` of the units and the literals filed under one of their windows, a row for each."""
+    context = units.sparkSession.sparkContext
+    return reduce(DataFrame.unionByName, [
+        units.select(*keep, F.explode(_windows_in(context.broadcast(bitmap), F.col(text))).alias("_window")).join(part, "_window")
+        for part, bitmap in _parts(filed)])
+
+
+def _number(units: DataFrame) -> Column:
+    """A number that a unit's columns give it; several may share one."""
+    plain = [f.name for f in units.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*plain)
+
+
+def spread_by_number(units: DataFrame) -> DataFrame:
+    """The units, in the tasks in which ``find_filed`` joins them: this moves the texts, once for all that reads them."""
+    return units.repartition(_number(units))
+
+
+def _to_texts(units: DataFrame, filed: DataFrame, text: str) -> DataFrame:
+    """The regexes that a unit met go to it, each once: also where it has several literals of a rule, or shares its number."""
+    met = _met(units, filed, text, _number(units).alias("_unit")).select("_unit", "rule_ord", "_regex").distinct()
+    matches = F.filter(F.array(F.regexp_extract_all(F.col(text), F.col("_regex"), F.lit(0))), lambda m: F.size(m) > 0)
+    return units.withColumn("_unit", _number(units)).join(met, "_unit").select(
+        *units.columns, "rule_ord", F.explode(matches).alias("matches"))
+
+
+def _to_rules(units: DataFrame, filed: DataFrame, text: str) -> DataFrame:
+    """A text goes to the rules once for each of its windows that may be filed. A rule with several
+    literals looks at a text for the first of them that it has, so it does so once."""
     t = F.col(text)
-    met = units.select("*", F.explode(windows(t)).alias("_window")).join(table.filed, "_window")
     plain = F.when(F.col("folds"), F.lower(F.translate(t, FOLDING_LETTERS, FOLDED))).otherwise(t)
     # at one literal the regex tells by itself
     first = F.when(F.size("literals") == 1, True).otherwise(
         plain.contains(F.element_at("literals", F.col("_no") + 1))
         & ~F.exists(F.slice("literals", 1, F.col("_no")), lambda x: F.contains(plain, x)))
     matches = F.when(first, F.filter(F.array(F.regexp_extract_all(t, F.col("_regex"), F.lit(0))), lambda m: F.size(m) > 0))
-    return met.select(*units.columns, "rule_ord", F.explode(matches).alias("matches"))
+    return _met(units, filed, text, "*").select(*units.columns, "rule_ord", F.explode(matches).alias("matches"))
+
+
+def find_filed(units: DataFrame, table: RuleTable, text: str) -> DataFrame | None:
+    """``find_matches`` for the rules with a literal that is filed; None if there are none.
+
+    The units are read twice, and have to be the same both times.
+    """
+    filed = table.filed
+    rules_of = filed.groupBy("_window").agg(F.count("*").alias("n"))
+    literals, crowded = rules_of.agg(F.count("*"), F.count_if(F.col("n") > SHARED)).first()
+    if not literals:
+        return None
+    if not crowded:
+        return _to_texts(units, filed, text)
+    apart = filed.join(rules_of.where(F.col("n") > SHARED), "_window").select("rule_ord").distinct()
+    many = _to_rules(units, filed.join(apart, "rule_ord", "left_semi"), text)
+    rest = filed.join(apart, "rule_ord", "left_anti")
+    return many if rest.isEmpty() else many.unionByName(_to_texts(units, rest, text))

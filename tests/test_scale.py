@@ -15,7 +15,7 @@ from keysift import schemas
 from keysift.llm import lm
 from keysift.llm.queries import op13_lm
 from keysift.operators import inference, rule_tables
-from keysift.operators.match import match_values
+from keysift.operators.match import count_by_rule, find_matches, match_values
 from keysift.operators.prompts import ModelOptions
 from keysift.operators.rule_tables import RuleTable
 from keysift.operators.rules import RuleSet, default_rules
@@ -215,3 +215,40 @@ def test_op13_model_has_each_longest_n_gram_once_and_few_letters(spark, tmp_path
     grams = sum(f[1] for f in model.files[4])
     assert grams > 40_000 and sum(f.stat().st_size for f in tmp_path.rglob("*")) < 30 * grams
     assert model.shards == 16 and len(model.files[0]) == 4
+
+
+def nodes(plan):
+    yield plan
+    for child in (plan.children().apply(i) for i in range(plan.children().size())):
+        yield from nodes(child)
+
+
+def test_texts_do_not_go_to_a_rule_table_once_for_each_window(spark, monkeypatch):
+    table = RuleTable(rule_rows(spark, [f"literal{k:05d}x[0-9]" for k in range(300)] + ["otherone[0-9]", "[0-9]{6}"]))
+    texts = spark.createDataFrame([(1, "literal00123x4 otherone5 otherone6"), (2, "123456")], "doc_id int, text string")
+    for shared, moved in ((1000, 0), (64, 1)):  # beyond: many rules of one window
+        monkeypatch.setattr(rule_tables, "SHARED", shared, raising=False)
+        found = find_matches(texts, table)
+        joins = [n for n in nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+        on_windows = [n for n in joins if "_window" in n.condition().toString()]
+        assert len(on_windows) >= 1 + moved
+        assert sum("text#" in side.output().mkString(" ") for n in on_windows for side in (n.left(), n.right())) == moved
+        got = sorted((r.doc_id, m) for r in found.collect() for m in r.matches)
+        assert got == [(1, "literal00123x4"), (1, "otherone5"), (1, "otherone6"), (2, "123456")]
+
+
+@pytest.mark.parametrize("settings", [{"LEAST_EACH": 1 << 10, "BITS": 1 << 15}, {"SHARED": 0}, {"SHARED": 1}, {
+    "SHARED": 1, "LEAST_EACH": 1 << 11, "BITS": 1 << 15}])
+def test_a_rule_table_finds_the_same_in_parts_and_among_crowded_windows(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(rule_tables, name, value)
+    regexes = [f"(?i)Name{k % 20:04d}{k}=[a-z]+" if k % 3 else f"name{k:05d}=[a-z]+" for k in range(90)]
+    regexes += ["(passphrase|name00012|lookup_key)[=a-z]*", "(?i)(passphrase|name0002)[=a-z]*", "passphras", "name[0-9]+"]
+    table = rule_rows(spark, regexes)
+    texts = [f"name{k:05d}=x NAME{k % 20:04d}{k}=y passphrase=z\nlookup_key" for k in range(90)] + [None, "", "name0001", "passphrase"]
+    units = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts * 2)], "doc_id int, text string")
+    units = units.unionAll(units).withColumn("tags", F.create_map(F.lit("a"), F.lit("b"))).repartition(3)  # rows that come twice
+    small = RuleTable(table)
+    got, want = (sorted(map(tuple, match_values(units.drop("tags"), r).collect())) for r in (small, RuleSet.from_df(table)))
+    assert got == want and len(want) > 1000
+    assert sorted(map(tuple, count_by_rule(units, small).collect())) == sorted(map(tuple, count_by_rule(units, RuleSet.from_df(table)).collect()))
